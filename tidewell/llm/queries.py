@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.chat import op1_chat_format
+from tidewell.llm.pieces import op10_sentencepiece
 from tidewell.llm.pii import op2_pii
+from tidewell.llm.quality import op3_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_pii": op2_pii,
+        "op3_quality": op3_quality,
+        "op10_sentencepiece": op10_sentencepiece,
     }
 
 
