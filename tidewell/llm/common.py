@@ -5,6 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of the session, once, as they need not find it on their own path."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="tidewell-code-")) / "tidewell_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _SHIPPED.add(app)
+
+
+def with_code(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """query, its code shipped first."""
+
+    def run(spark: SparkSession, *args):
+        ship_code(spark)
+        return query(spark, *args)
+
+    return run
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         drop(spark, path)

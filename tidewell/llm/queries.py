@@ -7,18 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.chat import op1_chat_format
+from tidewell.llm.common import with_code
+from tidewell.llm.decontaminate import op5_decontaminate
+from tidewell.llm.linededup import op4_line_dedup
+from tidewell.llm.neardup import op7_near_dedup
 from tidewell.llm.pieces import op10_sentencepiece
 from tidewell.llm.pii import op2_pii
 from tidewell.llm.quality import op3_quality
+from tidewell.llm.substrings import op6_substring_dedup
+from tidewell.llm.vectordedup import op9_embedding_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+    native = {
         "op1_chat_format": op1_chat_format,
         "op2_pii": op2_pii,
+    }
+    free = {
         "op3_quality": op3_quality,
+        "op4_line_dedup": op4_line_dedup,
+        "op5_decontaminate": op5_decontaminate,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op7_near_dedup": op7_near_dedup,
+        "op9_embedding_dedup": op9_embedding_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
+    return native | {k: with_code(f) for k, f in free.items()}
 
 
 def oracle_sql() -> dict[str, str]:
