@@ -15,6 +15,7 @@ from tidewell.llm.pieces import op10_sentencepiece
 from tidewell.llm.pii import op2_pii
 from tidewell.llm.quality import op3_quality
 from tidewell.llm.substrings import op6_substring_dedup
+from tidewell.llm import urls
 from tidewell.llm.vectordedup import op9_embedding_dedup
 
 
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontaminate": op5_decontaminate,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_near_dedup": op7_near_dedup,
+        "op8_url_filter": urls.op8_url_filter,
         "op9_embedding_dedup": op9_embedding_dedup,
         "op10_sentencepiece": op10_sentencepiece,
     }
@@ -36,4 +38,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_format": CHAT_SQL, "op8_url_filter": urls.ORACLE_SQL}
+
+
+#: The marks are those of the default template; a text's marks get one character each when escaped.
+CHAT_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+), m AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[<\[]\\*(/INST\]|/ROLE\]|/SYS\]|INST\]|ROLE\]|TEXT\]|SYS\]|/s>|s>)'))
+    + CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 19 + length(role) END AS f,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS prev,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k
+  FROM c
+), s AS (
+  SELECT *, CASE WHEN role = 'system' THEN k = 1 WHEN role = 'user' THEN k = 1 OR prev IN ('system', 'assistant')
+    WHEN role = 'assistant' THEN prev = 'user' ELSE false END AS ok FROM m
+), t AS (
+  SELECT *, min(CASE WHEN coalesce(ok, false) THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k) AS fine FROM s
+), g AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+    coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '') AS trained, CAST(sum(f) AS BIGINT) AS formatted_chars,
+    arg_max(role, k) AS last_role, CAST(sum(fine) AS BIGINT) AS n_accepted, min(fine) AS fine
+  FROM t GROUP BY conv_id
+)
+SELECT conv_id, n_turns, turns_sha256, CAST(length(trained) AS BIGINT) AS loss_chars, sha256(trained) AS loss_sha256, formatted_chars,
+  fine = 1 AND last_role = 'assistant' AS valid,
+  CASE WHEN fine = 0 THEN 'invalid' WHEN last_role = 'assistant' THEN 'answered' WHEN last_role = 'user' THEN 'asked' ELSE 'told' END AS state, n_accepted
+FROM g
+"""
