@@ -171,9 +171,11 @@ def shard_col(key: Column | str, shards: int) -> Column:
 
 
 def epoch_ms(ts: Column | str) -> Column:
-    """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    """Milliseconds since 1970 of a timestamp without zone, whatever the session's zone and its clock changes."""
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MILLISECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)
+    day = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    minute = (day * 24 + F.hour(ts)) * 60 + F.minute(ts)
+    return minute * 60_000 + F.floor(F.date_part(F.lit("SECOND"), ts) * 1000).cast("long")
 
 
 def crc_of_col(key: Column | str, value: Column | str) -> Column:
