@@ -6,9 +6,10 @@ import atexit
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,16 +99,54 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def components(nodes: DataFrame, edges: DataFrame, small_rounds: int = 40) -> DataFrame:
+#: Links that one task may unite; more go through rounds of joins.
+FEW_LINKS = 16_384
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of a task as a forest of stars (a, b), b the smallest of its tree; holds only what it has read since it last wrote."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[y]
+        return x
+
+    def stars() -> pa.RecordBatch:
+        leaves = [x for x in parent if root(x) != x]
+        return pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), pa.array([root(x) for x in leaves], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+        if len(parent) > 1_000_000:
+            yield stars()
+            parent.clear()
+    yield stars()
+
+
+def components(nodes: DataFrame, edges: DataFrame, few: int = FEW_LINKS, rounds: int = 40) -> DataFrame:
     """Connected components: (id, component) for every id of `nodes`; component is the smallest id reachable.
 
-    edges has (a, b), in any direction. Alternates large-star and small-star steps; each step is one
-    aggregation and one join, hubs are pre-aggregated, and the links stay distributed. The count of
-    links left with a changed end decides the end; only that number reaches the driver.
+    edges has (a, b), in any direction. Every task first reduces its links to a forest. Up to `few` links
+    in all, counted, are united by one task on an executor; more by alternating large-star and small-star
+    steps, of an aggregation and a join each, where hubs are pre-aggregated and links stay distributed.
+    Only counts reach the driver.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e = written(e, "cc")
-    for _ in range(small_rounds):
+    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    e = written(e.mapInArrow(_forest, "a long, b long"), "cc")
+    if small_count(e, few) <= few:
+        stars = written(e.coalesce(1).mapInArrow(_forest, "a long, b long"), "cc")
+        leaves = broadcast_if_small(stars, few)
+    else:
+        leaves = _stars(e, rounds)
+    leaves = leaves.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    return nodes.select("id").join(leaves, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _stars(e: DataFrame, rounds: int) -> DataFrame:
+    for _ in range(rounds):
         # large star: every neighbour larger than the node is linked with the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -122,15 +161,12 @@ def components(nodes: DataFrame, edges: DataFrame, small_rounds: int = 40) -> Da
         )
         nxt = written(small, "cc")
         # stars only: no node is both a leaf of one link and a centre of another, and no leaf has two centres
-        centres = nxt.select("b").distinct()
+        centres = nxt.select(F.col("b").alias("a")).distinct()
         tangled = nxt.groupBy("a").agg(F.countDistinct("b").alias("n")).where("n > 1").select("a").unionByName(
-            nxt.join(centres.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+            nxt.join(centres, "a", "left_semi").select("a")
         )
         forget(e)
         e = nxt
         if not tangled.limit(1).count():
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {small_rounds} rounds")
-    leaves = e.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    return nodes.select("id").join(leaves, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+            return e
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
