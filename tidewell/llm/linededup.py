@@ -89,7 +89,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     table = written(slim.mapInArrow(digests, "d1 long, d2 long, i long, k long, at int"), "chunks")
     # the smallest and largest place say whether a chunk repeats: rows repeated whole are one place
     place = F.struct("i", "k", "at")
-    again = table.groupBy("d1", "d2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("d1", "d2")
+    # written, so that the join deals both sides anew and a digest with many rows can be split
+    again = written(table.groupBy("d1", "d2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("d1", "d2"), "again")
     suspects = table.join(again, ["d1", "d2"], "left_semi").groupBy("i", "k").agg(F.collect_set("at").alias("at"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,7 +107,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     parts = slim.join(suspects, ["i", "k"]).select("i", "k", "text", "at").mapInArrow(texts, "i long, k long, at int, chunk string")
     parts = written(parts, "repeats")
-    firsts = parts.groupBy("chunk").agg(F.min(F.struct("i", "k", "at")).alias("first"))
+    firsts = written(parts.groupBy("chunk").agg(F.min(F.struct("i", "k", "at")).alias("first")), "firsts")
     gone = (
         parts.join(firsts, "chunk").where(F.struct("i", "k", "at") != F.col("first"))
         .groupBy("i", "k").agg(F.collect_set("at").alias("_removed"))

@@ -107,7 +107,8 @@ def substring_dedup(docs: DataFrame, least: int = 25) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(d2, pa.int32()), pa.array(i, pa.int64())], names=["d1", "d2", "i"])
 
     table = written(slim.mapInArrow(hashed, "d1 long, d2 int, i long"), "units")
-    firsts = table.groupBy("d1", "d2").agg(F.min("i").alias("i0"), F.max("i").alias("i1")).where("i0 < i1").select("d1", "d2", "i0")
+    # written, so that the join deals both sides anew and a digest with many rows can be split
+    firsts = written(table.groupBy("d1", "d2").agg(F.min("i").alias("i0"), F.max("i").alias("i1")).where("i0 < i1").select("d1", "d2", "i0"), "firsts")
     repeated = table.join(firsts, ["d1", "d2"]).where("i > i0").groupBy("i").agg(F.collect_set("d1").alias("_d"))
     keyed = docs.withColumn("__i", rank)
     out = keyed.join(repeated, keyed["__i"] == repeated["i"], "left").select(*[keyed[c] for c in docs.columns], "_d")
