@@ -47,11 +47,17 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+#: Where the session sets no limit of its own: bytes of rows handed to Python at once, as texts may be very long.
+BATCH_BYTES = 32 << 20
+
+
 def with_code(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """query, its code shipped first."""
+    """query, its code shipped first and its batches bounded."""
 
     def run(spark: SparkSession, *args):
         ship_code(spark)
+        if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return query(spark, *args)
 
     return run
