@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PER_ERROR = 16
+PER_ERROR = 12
 WORD = re.compile(r"\w+")
 
 
