@@ -111,7 +111,7 @@ def test_fan_out_and_sync(spark):
 
 @pytest.mark.parametrize("keys", [[5], [7, 8], list(range(0, 3000, 3)), [k * k for k in range(500)], [-50, -3, 0, 2**40]])
 def test_windows_hold_every_key(spark, keys):
-    p = learned.global_positions(spark.createDataFrame([(k,) for k in keys], "key long"), 3)
+    p = learned.positions(spark.createDataFrame([(k,) for k in keys], "key long"), parts=3)
     assert [r.pos for r in p.orderBy("key").collect()] == list(range(len(keys)))
     f = learned.predict(p, learned.train(p, fanout=10), fanout=10)
     w = learned.window_lookup(f, learned.error_bounds(f)).collect()

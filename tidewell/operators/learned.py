@@ -2,9 +2,8 @@
 
 Keys fall into `fanout` buckets by their share of the range; each bucket is a line fitted by least
 squares from raw sums, which add up, so training is a grouping with a partial step and a model can be
-merged with the sums of new data. Everything is done for each shard by itself (or for one global
-shard); positions come from a window in each shard, or, globally, from range partitions of the keys
-and a running count, so that no task sees all keys.
+merged with the sums of new data. Everything is done for each shard by itself, or for all keys as
+one; positions come from ranges of keys and running counts, so that no task sees all keys of a shard.
 """
 
 from __future__ import annotations
@@ -18,28 +17,29 @@ FANOUT = 1000
 SUMS = ("n", "sx", "sy", "sxy", "sxx")
 
 
-def positions(keys: DataFrame, *shard: str) -> DataFrame:
-    """keys with pos, the place of key in its shard, and the shard's lo, hi and size."""
-    w = Window.partitionBy(*shard)
-    return keys.withColumns({
-        "pos": (F.row_number().over(w.orderBy("key")) - 1).cast("long"),
-        "lo": F.min("key").over(w), "hi": F.max("key").over(w), "size": F.count("*").over(w),
-    })
+def positions(keys: DataFrame, *shard: str, parts: int = 0) -> DataFrame:
+    """keys with pos, the place of key in its shard (or in all), and the shard's lo, hi and size.
 
+    Keys are cut into `parts` ranges at approximate quantiles; each range of a shard is counted, and keys
+    are numbered within it, so no task sees a whole shard. The cuts are plain numbers: unlike partition
+    numbers they are the same wherever a row is read again.
+    """
+    from pyspark.ml.feature import Bucketizer
 
-def global_positions(keys: DataFrame, parts: int = 0) -> DataFrame:
-    """As positions() for one shard of any size: keys are range-partitioned, counted for each partition, and numbered within."""
     n = parts or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keys.repartitionByRange(n, "key").withColumn("_p", F.spark_partition_id())
-    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"), F.min("key").alias("_lo"), F.max("key").alias("_hi"))
-    # a row for each partition, so these windows are over at most `parts` rows
-    one = Window.partitionBy(F.lit(0))
+    cuts = keys.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
+    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
+    cut = Bucketizer(splits=edges, inputCol="_k", outputCol="_c")
+    dealt = cut.transform(keys.withColumn("_k", F.col("key").cast("double"))).withColumn("_c", F.col("_c").cast("int")).drop("_k")
+    counts = dealt.groupBy(*shard, "_c").agg(F.count("*").alias("_n"), F.min("key").alias("_lo"), F.max("key").alias("_hi"))
+    # at most `parts` rows for each shard
+    one = Window.partitionBy(*(shard or (F.lit(0),)))
     before = counts.select(
-        "_p", F.coalesce(F.sum("_n").over(one.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        *shard, "_c", F.coalesce(F.sum("_n").over(one.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.min("_lo").over(one).alias("lo"), F.max("_hi").over(one).alias("hi"), F.sum("_n").over(one).alias("size"),
     )
-    within = (F.row_number().over(Window.partitionBy("_p").orderBy("key")) - 1).cast("long")
-    return dealt.join(F.broadcast(before), "_p").withColumn("pos", within + F.col("_before")).drop("_p", "_before")
+    within = (F.row_number().over(Window.partitionBy(*shard, "_c").orderBy("key")) - 1).cast("long")
+    return dealt.withColumn("_w", within).join(before, [*shard, "_c"]).withColumn("pos", F.col("_w") + F.col("_before")).drop("_c", "_w", "_before")
 
 
 def bucket(fanout: int = FANOUT) -> Column:

@@ -358,7 +358,7 @@ def mailbox_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def placed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learned.global_positions(order_records(spark, sf_dir).select("key"))
+    return learned.positions(order_records(spark, sf_dir).select("key"))
 
 
 def _model_sql(fanout: int, shard: str = "0") -> str:
