@@ -34,12 +34,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import components, written
+from tidewell.llm.common import broadcast_if_small, components, written
 
 BANDS, ROWS, BITS, SET_BITS = 36, 5, 512, 1024
 SAMPLES = BANDS * ROWS
 LONGS, SET_LONGS = BITS // 64, SET_BITS // 64
 LAST = (1 << 63) - 1
+#: Ids (8 bytes each) that may be broadcast once counted.
+FEW_IDS = 500_000
 _RNG = np.random.default_rng(20240229)
 _A = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -150,9 +152,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int, of: in
                         out.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
+    ids = written(pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct(), "wanted")
+    # only the texts of candidates move; a row repeated whole is one text
+    some = written(texts.join(broadcast_if_small(ids, FEW_IDS), "i", "left_semi").dropDuplicates(["i", "text"]), "texts")
     full = (
-        pairs.join(texts.select(F.col("i").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("i").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        pairs.join(some.select(F.col("i").alias("a"), F.col("text").alias("ta")), "a")
+        .join(some.select(F.col("i").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     )
     return full.mapInArrow(run, "a long, b long").distinct()
 
@@ -190,9 +195,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, of: int =
     cond = (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(least, of)
     late = left.join(right, cond).select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
     late = late.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    more = written(_verified(late, texts, words, least, of), "links")
-    if more.limit(1).count():
-        comp = written(components(ids, links.unionByName(more)), "components")
+    late = written(late, "late")
+    if late.limit(1).count():
+        links = links.unionByName(written(_verified(late, texts, words, least, of), "links"))
+        comp = written(components(ids, links), "components")
 
     # rows that share a doc_id are one node: their classes may differ, then they are linked through the id
     named = classes.join(comp.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep").select("d1", "d2", "c")
