@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import broadcast_if_small, components, written
+from tidewell.llm.common import broadcast_if_small, components, forget, written
 
 BANDS, ROWS, BITS, SET_BITS = 36, 5, 512, 1024
 SAMPLES = BANDS * ROWS
@@ -159,7 +159,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int, of: in
         pairs.join(some.select(F.col("i").alias("a"), F.col("text").alias("ta")), "a")
         .join(some.select(F.col("i").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     )
-    return full.mapInArrow(run, "a long, b long").distinct()
+    out = written(full.mapInArrow(run, "a long, b long").distinct(), "links")
+    for t in (ids, some):
+        forget(t)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, of: int = 100) -> DataFrame:
@@ -174,14 +177,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, of: int =
     side = lambda s: slim.select(F.col("i").alias(s), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"o{s}"))
 
     buckets = mine.select("i", F.explode("keys").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("i").alias("p"), F.max("i").alias("q")).where("p <> q").select("key", "p")
+    # written, here and below, so that the join deals both sides anew and a bucket of many members can be split
+    shared = written(buckets.groupBy("key").agg(F.min("i").alias("p"), F.max("i").alias("q")).where("p <> q").select("key", "p"), "shared")
     inside = written(buckets.join(shared, "key").select("key", "i", "p"), "buckets")
     near = (
         inside.where("i <> p").select(F.col("i").alias("a"), F.col("p").alias("b")).distinct()
         .join(side("a"), "a").join(side("b"), "b").where(_may_link(least, of)).select("a", "b")
     )
     near = written(near, "pivots")
-    links = written(_verified(near, texts, words, least, of), "links")
+    links = _verified(near, texts, words, least, of)
     ids = mine.select(F.col("i").alias("id")).distinct()
     comp = written(components(ids, links), "components")
 
@@ -189,6 +193,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, of: int =
     with_c = inside.join(comp.withColumnRenamed("id", "i"), "i").select("key", "i", F.col("component").alias("c"))
     sizes = with_c.groupBy("key", "c").agg(F.count("*").alias("m"))
     main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", F.col("x.c").alias("main"))
+    main = written(main, "main")
     mixed_in = written(with_c.join(main, "key").join(slim, "i"), "mixed")
     left = mixed_in.where("c <> main").select("key", F.col("i").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("odd").alias("oa"))
     right = mixed_in.select("key", F.col("i").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("odd").alias("ob"))
@@ -197,8 +202,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, of: int =
     late = late.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     late = written(late, "late")
     if late.limit(1).count():
-        links = links.unionByName(written(_verified(late, texts, words, least, of), "links"))
-        comp = written(components(ids, links), "components")
+        more = _verified(late, texts, words, least, of)
+        comp = written(components(ids, links.unionByName(more)), "components")
+        forget(more)
+    for t in (mine, shared, inside, near, links, mixed_in, main, late):
+        forget(t)
 
     # rows that share a doc_id are one node: their classes may differ, then they are linked through the id
     named = classes.join(comp.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep").select("d1", "d2", "c")
