@@ -52,7 +52,7 @@ def test_chat_edge_cases(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("conversations", "pages"):
+    for t in ("conversations", "documents", "embeddings", "pages"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries()[name](spark, SF), c.sql(oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
