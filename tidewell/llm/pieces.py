@@ -23,6 +23,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,18 @@ NEAR = 5
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 
 
+class _Rows(dict):
+    """Numbers words in the order they are met; `new` has those that have no pieces yet."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.new.append(word)
+        return n
+
+
 class Pieces:
     """The vocabulary of a model file, and the ids of marked words seen so far (at most `most` of them)."""
 
@@ -85,8 +98,8 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.row: dict[str, int] = {}
-        self.starts, self.flat = array("q", [0]), array("i")
+        self.row = _Rows()
+        self.starts, self.sizes, self.flat = array("q"), array("i"), array("i")
 
     def merged(self, word: str) -> list[str]:
         """Pieces by merging the neighbours with the highest score first, the leftmost of equals."""
@@ -158,8 +171,12 @@ class Pieces:
                 out = (best[j] + s, word[j:i])
         return out
 
-    def learn(self, words: list[str]) -> None:
-        """Finds the ids of words not seen yet, in one depth-first walk of their trie."""
+    def learn(self) -> None:
+        """Finds the ids of words met for the first time, in one depth-first walk of their trie."""
+        words, self.row.new = self.row.new, []
+        row, flat, starts, sizes = self.row, self.flat, self.starts, self.sizes
+        starts.extend([0] * (len(row) - len(starts)))
+        sizes.extend([0] * (len(row) - len(sizes)))
         ids, fits, short, long = self.ids, self.fits, self.short, self.long
         if len(fits) > 1_000_000:
             fits.clear()
@@ -212,15 +229,21 @@ class Pieces:
             if i:
                 self.plain += 1
                 parts = [ids.get(p, p) for p in reversed(self.merged(word))]
-            self.row[word] = len(self.starts) - 1
-            for p in reversed(parts):
-                if p.__class__ is int:
-                    self.flat.append(p)
-                elif self.byte:
-                    self.flat.extend(self.byte[v] for v in p.encode("utf-8", "replace"))
-                else:
-                    self.flat.append(self.unknown)
-            self.starts.append(len(self.flat))
+            n = row[word]
+            starts[n] = begin = len(flat)
+            parts.reverse()
+            try:
+                flat.extend(parts)
+            except TypeError:  # a character in no piece
+                del flat[begin:]
+                for p in parts:
+                    if p.__class__ is int:
+                        flat.append(p)
+                    elif self.byte:
+                        flat.extend(self.byte[v] for v in p.encode("utf-8", "replace"))
+                    else:
+                        flat.append(self.unknown)
+            sizes[n] = len(flat) - begin
 
     def words(self, text: str) -> list[str]:
         if not text:
@@ -232,12 +255,11 @@ class Pieces:
         lists = [self.words(t or "") for t in texts]
         if len(self.row) > self.most:
             self.clear()
-        new = set().union(*lists) - self.row.keys()
-        if new:
-            self.learn(list(new))
-        starts, flat = np.frombuffer(self.starts, dtype=np.int64), np.frombuffer(self.flat, dtype=np.int32) if self.flat else np.zeros(0, dtype=np.int32)
-        rows = np.fromiter((r for ws in lists for r in map(self.row.__getitem__, ws)), dtype=np.int64)
-        size = starts[rows + 1] - starts[rows] if len(rows) else np.zeros(0, dtype=np.int64)
+        rows = np.fromiter(map(self.row.__getitem__, chain.from_iterable(lists)), dtype=np.int64, count=sum(map(len, lists)))
+        if self.row.new:
+            self.learn()
+        starts, sizes, flat = (np.frombuffer(x, dtype=d) if x else np.zeros(0, dtype=d) for x, d in ((self.starts, np.int64), (self.sizes, np.int32), (self.flat, np.int32)))
+        size = sizes[rows].astype(np.int64)
         ends = np.cumsum(size)
         at = np.repeat(starts[rows] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0) if len(rows) else np.zeros(0, dtype=np.int64)
         total = np.concatenate([[0], ends])[np.cumsum([0] + [len(ws) for ws in lists])]
