@@ -140,6 +140,38 @@ def test_line_dedup_equals_brute_force(spark):
         assert sorted(r._removed) == gone and r.text == (linededup.without(t, gone) if gone else t)
 
 
+def without_runs(rows):
+    """Every run from one line that is not blank to another, held against all earlier ones; no chunks."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        full, gone = [k for k, x in enumerate(lines) if x.strip()], set()
+        for a in full:
+            for b in full:
+                if a < b:
+                    run = "\n".join(lines[a:b + 1])
+                    gone.update(k for k in range(a, b + 1) if run in seen)
+        seen.update("\n".join(lines[a:b + 1]) for a in full for b in full if a < b)
+        out[i] = [x for k, x in enumerate(lines) if k not in gone and x.strip()]
+    return out
+
+
+def test_line_dedup_takes_every_repeated_run_of_lines(spark):
+    rng = random.Random(14)
+    line = lambda: " ".join(words(rng, 6))
+    runs = ["\n".join(line() + rng.choice(["", "", "\n"]) for _ in range(rng.randint(2, 5))) for _ in range(20)]
+    rows = [(k, "\n".join([line(), runs[k % 20], line(), *([line(), runs[(k * 7 + 3) % 20]] if k % 3 else [])])) for k in range(90) if (k * 7 + 3) % 20 != k % 20]
+    want = without_runs(rows)
+    got = {r.doc_id: [x for x in r.text.split("\n") if x.strip()] for r in linededup.line_dedup(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
+    assert got == want and all(len(want[k]) == 2 + bool(k % 3) for k in want if k >= 40)
+
+
+def test_line_dedup_pairs_and_blank_lines(spark):
+    rows = [(1, "a\na\na"), (2, "b\nc"), (3, "x\nb\n\nc\ny"), (4, "z\nb\nc\n\nu"), (5, "d\n\n"), (6, "v\na\na\nw\na\na")]
+    got = {r.doc_id: r.text for r in linededup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {1: "a\na\na", 2: "b\nc", 3: "x\nb\n\nc\ny", 4: "z\n\nu", 5: "d\n\n", 6: "v\nw"}
+
+
 def test_line_dedup_edge_cases(spark):
     t = "first line\nsecond line\nthird line"
     df = spark.createDataFrame([(None, t), (4, t), (4, t), (4, "x")], DOCS)

@@ -1,15 +1,23 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over content-defined chunks of lines and over pairs of lines.
 
 Every line has a hash, and a rolling hash over the last WINDOW line hashes says where a chunk ends,
-so that lines put in or taken out move only the borders near them. Digests of multi-line chunks are
-counted over all documents. The bytes of chunks whose digest repeats are then compared (grouped with
-their digest as key and their text as proof), the earliest by (doc_id, place) stays, the others go.
+so that lines put in or taken out move only the borders near them. A second, overlapping chunking has
+every two neighbouring lines that are not blank, with the blank ones between them, so that a repeated
+run of lines is found wherever its chunks' borders lie. Digests of both are counted over all documents.
+The bytes of chunks whose digest repeats are then compared (grouped with their digest as key and their
+text as proof), the earliest by (doc_id, place) stays, the others go.
+
+So every line goes that stands in a run of at least two lines that are not blank, if an earlier document
+has that run; within a document only whole chunks are taken out as repeats. The earliest place of a line
+never goes. The pair of lines where two repeated runs meet may go though it stands there first; each of
+its lines then stands earlier.
 
 Digests and places travel without texts; only chunks that repeat by digest are moved as texts, and
 equal ones are merged before they are moved. The text itself is read again to cut chunks out.
 
 Edge cases: a null text counts as empty and stays null; a chunk needs two lines that are not blank,
-so a text of one line never loses it; rows of one doc_id with different texts are told apart by a
+so a text of one line never loses it; blank lines are compared as they are, and those at the ends of
+a repeated run may stay; rows of one doc_id with different texts are told apart by a
 hash of the text, rows repeated whole get the same result; a null doc_id ranks last and all rows of
 that id with the same text count as one; ties cannot occur beyond that; other columns stay as they
 are, whatever their names; an empty table gives no rows.
@@ -17,7 +25,9 @@ are, whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
@@ -51,14 +61,32 @@ def chunks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def multi_line(text: str) -> Iterator[tuple[int, str]]:
-    """Place and text of the chunks with at least two lines that are not blank."""
-    if "\n" not in text:
-        return
+def spans(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
+    """What stands at each place, and its (first line, line after the last): chunks with at least two lines that are not blank, then
+    pairs of such lines. A pair has one place in a text, that of an equal chunk if there is one, and all its lines there."""
     lines = text.split("\n")
-    for k, (a, b) in enumerate(chunks(text)):
-        if sum(1 for x in lines[a:b] if x.strip()) >= LEAST:
-            yield k, "\n".join(lines[a:b])
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    if len(full) < LEAST:
+        return []
+    out: list[tuple[str, list[tuple[int, int]]]] = []
+    first: dict[str, int] = {}
+    for a, b in chunks(text):
+        if bisect_left(full, b) - bisect_left(full, a) >= LEAST:
+            first.setdefault(chunk := "\n".join(lines[a:b]), len(out))
+            out.append((chunk, [(a, b)]))
+    for a, b in pairwise(full):
+        k = first.setdefault(pair := "\n".join(lines[a:b + 1]), len(out))
+        if k == len(out):
+            out.append((pair, []))
+        out[k][1].append((a, b + 1))
+    return out
+
+
+def multi_line(text: str) -> Iterator[tuple[int, str]]:
+    """Place and text of the chunks and pairs of text."""
+    if "\n" in text:
+        for k, (chunk, _) in enumerate(spans(text)):
+            yield k, chunk
 
 
 def _signed(x: int) -> int:
@@ -70,7 +98,7 @@ def _keyed(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
-    """docs with every column, text without repeated chunks, and _removed array<int>, the places of chunks taken out."""
+    """docs with every column, text without repeated chunks, and _removed array<int>, the places of chunks and pairs taken out."""
     rank, key = _keyed(docs)
     slim = docs.select(rank.alias("i"), key.alias("k"), F.col("text").cast("string").alias("text"))
 
@@ -98,10 +126,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
             for a in range(0, b.num_rows, 256):
                 p = b.slice(a, 256)
                 i, k, at, out = [], [], [], []
-                for x, y, t, places in zip(*(p.column(c).to_pylist() for c in range(4))):
-                    places = set(places)
+                for x, y, t, found in zip(*(p.column(c).to_pylist() for c in range(4))):
+                    found = set(found)
                     for n, c in multi_line(t):
-                        if n in places:
+                        if n in found:
                             i.append(x), k.append(y), at.append(n), out.append(c)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.array(out, pa.string())], names=["i", "k", "at", "chunk"])
 
@@ -133,8 +161,9 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
 
 def without(text: str, places: list[int]) -> str:
-    lines, gone = text.split("\n"), set(places)
-    return "\n".join("\n".join(lines[a:b]) for k, (a, b) in enumerate(chunks(text)) if k not in gone)
+    found = spans(text)
+    gone = {k for n in places for a, b in found[n][1] for k in range(a, b)}
+    return "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone) if gone else text
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
