@@ -197,6 +197,28 @@ def test_substrings(spark):
     assert all(r._spans == [] for r in substrings.substring_dedup(twice).collect())
 
 
+def test_op6_takes_every_repeated_line(spark, tmp_path):
+    rng = random.Random(15)
+    line = lambda: rng.choice(["", "Yes. ", "Oh no! "]) + " ".join(words(rng, rng.choice([3, 9, 40]))).capitalize() + rng.choice(["", ". Ok", ". So it goes. End."])
+    common = [line() for _ in range(15)]
+    rows = [(k, "\n".join(x for j in range(4) for x in (line(), common[(k + j * (k % 4 + 1)) % 15]))) for k in range(50)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, want = set(), {}
+    for i, t in rows:
+        want[i] = []
+        for x in t.split("\n"):
+            key = " ".join(substrings.WORD.findall(x.lower()))
+            if key not in seen:
+                want[i].append(x)
+            seen.add(key)
+    got = {r.doc_id: r.kept_text for r in substrings.op6_substring_dedup(spark, str(tmp_path)).collect()}
+    for i, t in rows:
+        kept = [x for x in got[i].split("\n") if x.strip()]
+        assert not [x for x in kept if x in common and x not in want[i]]
+        # a sentence that repeats goes from a line that stays; the words of no other line do
+        assert len(kept) == len(want[i]) and all(x.split()[0].lower() in y.lower() for x, y in zip(kept, want[i]))
+
+
 def test_units_cover_all_words():
     text = "One two. Three, four!\nfive " + " ".join(f"w{k}" for k in range(200)) + "?! End of it\n\n.  "
     found = list(substrings.units(text))

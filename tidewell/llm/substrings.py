@@ -1,13 +1,14 @@
 """Substring dedup by hashing units of text.
 
 Texts are cut into paragraphs (lines) and these into sentences; sentences of more than LONG words are
-cut again after words whose hash says so. A unit is normalised (lower case, words only) and hashed.
-Digests of units with at least SHORT words are grouped over all documents: the document that ranks
-first by doc_id keeps the unit, and so does the first place in a document that repeats it.
+cut again after words whose hash says so. A line of several units is a unit as well. A unit is normalised
+(lower case, words only) and hashed. Digests of units with at least SHORT words are grouped over all
+documents: the document that ranks first by doc_id keeps the unit, and so does the first place in a
+document that repeats it.
 
-A repeated unit is removed if it stands in a run of repeated units of at least `least` words, so that
-passages go and sentences that two writers happen to share stay; shorter units between two repeated
-ones belong to the run. Removed spans keep their offsets in the original text, in code points.
+Every other place of a unit is removed; all units of a repeated line are, however short, and shorter units
+between two repeated ones. With `least`, only runs of repeated units of at least that many words go, so
+that passages go and sentences that two writers happen to share stay; op6 does not use it. Removed spans keep their offsets in the original text, in code points.
 
 Edge cases: a null text counts as empty and stays null; units without words are never removed; rows
 of one doc_id are one document for ranking, so repeated rows get the same result; a null doc_id ranks
@@ -46,6 +47,25 @@ def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
         a = m.end() if m else b
 
 
+def by_line(text: str) -> Iterator[tuple[list[tuple[int, int, list[str]]], list[str] | None]]:
+    """The units of each line, and the line's normalised words if it is a unit of its own beside them."""
+    end, line = -1, []
+    for u in units(text):
+        if u[0] > end:
+            if line:
+                yield line, _whole(line)
+            end, line = text.find("\n", u[0]), []
+            end = len(text) if end < 0 else end
+        line.append(u)
+    if line:
+        yield line, _whole(line)
+
+
+def _whole(line: list[tuple[int, int, list[str]]]) -> list[str] | None:
+    words = [w for _, _, ws in line for w in ws] if len(line) > 1 else []
+    return words if len(words) >= SHORT else None
+
+
 def _cut(text: str, a: int, b: int) -> Iterator[tuple[int, int, list[str]]]:
     words, begin = [], a
     for m in WORD.finditer(text, a, b):
@@ -68,13 +88,18 @@ def removed_spans(text: str, repeated: set[int], least: int) -> tuple[list[tuple
     """Spans to take out, given the digests that an earlier document has; and the number of units in them."""
     seen: set[int] = set()
     marks: list[tuple[int, int, int, int | None]] = []  # start, end, words, 1 repeated, 0 not, None too short to tell
-    for a, b, words in units(text):
-        if len(words) < SHORT:
-            marks.append((a, b, len(words), None))
-            continue
-        h, _ = digest(words)
-        marks.append((a, b, len(words), int(h in repeated or h in seen)))
-        seen.add(h)
+    for line, whole in by_line(text):
+        h = whole and digest(whole)[0]
+        again = h is not None and (h in repeated or h in seen)
+        for a, b, words in line:
+            if len(words) < SHORT:
+                marks.append((a, b, len(words), 1 if again else None))
+                continue
+            d, _ = digest(words)
+            marks.append((a, b, len(words), int(again or d in repeated or d in seen)))
+            seen.add(d)
+        if h is not None:
+            seen.add(h)
     out, count, run = [], 0, []
     for m in (*marks, (0, 0, 0, 0)):
         if m[3] == 1 or m[3] is None and run:
@@ -100,7 +125,7 @@ def substring_dedup(docs: DataFrame, least: int = 25) -> DataFrame:
                 p = b.slice(a, 256)
                 i, d1, d2 = [], [], []
                 for x, t in zip(p.column(0).to_pylist(), p.column(1).to_pylist()):
-                    own = {digest(w) for _, _, w in units(t or "") if len(w) >= SHORT}
+                    own = {digest(w) for line, whole in by_line(t or "") for w in (*(u[2] for u in line), whole or ()) if len(w) >= SHORT}
                     i.extend([x] * len(own))
                     d1.extend(h for h, _ in own)
                     d2.extend(h for _, h in own)
@@ -139,7 +164,7 @@ def substring_dedup(docs: DataFrame, least: int = 25) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without repeated passages, with the offsets of what was taken out."""
-    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), least=SHORT)
     return out.select(
         "doc_id", F.size("_spans").cast("long").alias("n_spans"), F.col("_units").alias("n_units"),
         F.aggregate("_spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("removed_chars"),
