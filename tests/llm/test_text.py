@@ -133,6 +133,16 @@ def test_urls(spark, bits):
     assert urls.judge(df.limit(0), listed.limit(0)).count() == 0
 
 
+def test_hosts_of_many_labels(spark, tmp_path):
+    far = "spam." + ".".join(f"l{k}" for k in range(40)) + ".net"
+    found = [f"http://{far}/x", f"http://www.{far}/", f"http://{far[5:]}/", f"http://casino.{'a.' * 50}example.org/es/", "http://ok.net/"]
+    spark.createDataFrame(list(enumerate(found)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.verdict, r.listed) for r in urls.op8_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {0: ("block", True), 1: ("block", True), 2: ("allow", False), 3: ("block", True), 4: ("allow", False)}
+    out = urls.judge(spark.createDataFrame([(1, f"http://www.{far}/")], "page_id long, url string"), spark.createDataFrame([(far,)], "host string"), rules=())
+    assert [r.listed for r in out.collect()] == [True]
+
+
 def test_cascade_is_exact(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
     levels = list(urls.build(keys))

@@ -14,9 +14,9 @@ host with every prefix of its path that is as long as some rule's path; the long
 Pages without a rule are blocked if their host, or one it is a subdomain of, is listed, else allowed.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits no rule, is not listed and
-so is allowed; rows are independent, so repeated rows do not matter; very long urls have at most
-`most_labels` suffixes looked up from the right, enough for every rule and listed host, as longer ones
-cannot be equal to any; other columns are ignored; empty tables and empty lists work.
+so is allowed; rows are independent, so repeated rows do not matter; of a host, the suffixes with as many
+labels as the longest listed host, or rule's host, are looked up, as longer ones cannot be equal to any;
+other columns are ignored; empty tables and empty lists work.
 """
 
 from __future__ import annotations
@@ -174,25 +174,28 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(rest, F.lit("")), r"^[^/?#]*([^?#]*)", 1)
 
 
+def labels_of(host: Column) -> Column:
+    return F.split(host, r"\.")
+
+
 def suffixes(host: Column, most_labels: int) -> Column:
     """The host and the domains it is part of, longest first, as far as they have at most most_labels labels."""
-    labels = F.split(host, r"\.")
+    labels = labels_of(host)
     n = F.size(labels)
     at = F.sequence(F.least(n, F.lit(most_labels)), F.lit(1), F.lit(-1))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(at, lambda k: F.array_join(F.slice(labels, -k, k), ".")))
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, block_bits: int = 1 << 28, most_labels: int = 32) -> DataFrame:
-    """page_id, host, path, rule, verdict, listed for every row of (page_id, url). listed: (host), the blocklist.
-
-    most_labels must be at least the number of labels of every rule's and every listed host.
-    """
+def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, block_bits: int = 1 << 28) -> DataFrame:
+    """page_id, host, path, rule, verdict, listed for every row of (page_id, url). listed: (host), the blocklist."""
     spark = pages.sparkSession
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     lengths = sorted({len(r.path) for r in rules})
-    hosts = suffixes(F.col("host"), most_labels)
+    longest = listed.where("host is not null").agg(F.max(F.size(labels_of(F.col("host"))))).first()[0]
+    hosts = suffixes(F.col("host"), longest or 1)
+    of_rule = suffixes(F.col("host"), max((r.host.count(".") + 1 for r in rules), default=1))
     fits = F.filter(F.array(*[F.struct(F.lit(n).alias("n"), F.substring("path", 1, n).alias("start")) for n in lengths] or [F.lit(None).cast("struct<n:int,start:string>")]), lambda s: s.isNotNull() & (F.length(s["start"]) == s["n"]))
-    keys = F.flatten(F.transform(hosts, lambda h: F.transform(fits, lambda s: F.concat(h, s["start"]))))
+    keys = F.flatten(F.transform(of_rule, lambda h: F.transform(fits, lambda s: F.concat(h, s["start"]))))
     p = p.withColumns({"hosts": hosts, "keys": F.coalesce(keys, F.array().cast("array<string>"))})
 
     rule_keys = [r.key for r in rules]
