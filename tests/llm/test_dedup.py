@@ -242,30 +242,49 @@ def test_myers_equals_plain_distance():
         assert decontaminate.myers(p, t)[0] == lev(p, t)
 
 
+def occurs(item, text):
+    """The plain rule: as many edits as a twelfth of the item's characters, borders of words included."""
+    item, text = decontaminate.reduced(item), decontaminate.reduced(text)
+    return bool(item and text) and lev(f" {item} ", f" {text} ") <= len(item) // 12
+
+
 def test_decontamination(spark):
     rng = random.Random(12)
-    items = [" ".join(words(rng, 30)) for _ in range(6)] + ["tiny", "", None]
+    items = [" ".join(words(rng, 30)) for _ in range(6)] + ["tiny", "", None, "The quick brown fox", "tiny"]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string").withColumn("doc_id", F.lit(1))
     noise = lambda: " ".join(words(rng, 40))
     red = decontaminate.reduced(items[2])
     edited = list(red)
-    for k in rng.sample(range(len(edited)), decontaminate.budget(red)):
+    for k in rng.sample(range(len(edited)), decontaminate.budget(f" {red} ")):
         edited[k] = "z"
     too_many = "".join("z" if k % 3 == 0 else c for k, c in enumerate(red))
-    texts = [noise(), f"{noise()} {items[0]} {noise()}", f"{noise()}, {items[1].upper().replace(' ', ' - ')}! {noise()}", f"{noise()} {''.join(edited)} {noise()}", f"{noise()} {too_many}", "Tiny!", "tiny thing", "", None, items[3] + " " + items[4]]
+    texts = [noise(), f"{noise()} {items[0]} {noise()}", f"{noise()}, {items[1].upper().replace(' ', ' - ')}! {noise()}", f"{noise()} {''.join(edited)} {noise()}", f"{noise()} {too_many}", "Tiny!", "tiny thing", "destiny", "", None, items[3] + " " + items[4]]
+    texts += [f"{noise()} the quick brown fox {noise()}", f"{noise()} the quick brwn fox {noise()}", f"{noise()} the quirk brwn fox {noise()}", " ".join([noise()] * 300) + f" {items[5]}"]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumn("items", F.lit("clash"))
-    want = {i: sorted(k for k, t in enumerate(items) if t and (lev(decontaminate.reduced(t), decontaminate.reduced(x)) <= decontaminate.budget(decontaminate.reduced(t)) if len(t) > 24 else decontaminate.reduced(t) == decontaminate.reduced(x))) for i, x in enumerate(texts)}
-    assert want[1] == [0] and want[2] == [1] and want[3] == [2] and want[4] == [] and want[5] == [6] and want[9] == [3, 4]
+    want = {i: [k for k, t in enumerate(items) if occurs(t, x if len(x or "") < 9999 else x[-999:])] for i, x in enumerate(texts)}
+    assert [want[k] for k in range(1, 15)] == [[0], [1], [2], [], [6, 10], [6, 10], [], [], [], [3, 4], [9], [9], [], [5]]
     for chars in (4_000_000, 200):
         got = {r.doc_id: [x.item_id for x in r["items"]] for r in decontaminate.match_benchmark(df, benchmark, block_chars=chars).collect()}
         assert got == want
         kept = decontaminate.drop_contaminated(df, benchmark, block_chars=chars)
         assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, x in want.items() if not x}
+    few = decontaminate.match_benchmark(df, benchmark, least_chars=10)
+    assert {r.doc_id: [x.item_id for x in r["items"]] for r in few.collect()} == {i: [k for k in x if k not in (6, 10)] for i, x in want.items()}
     assert decontaminate.match_benchmark(df, benchmark.limit(0)).where(F.size("items") > 0).count() == 0
     assert decontaminate.match_benchmark(df.limit(0), benchmark).count() == 0
     assert decontaminate.match_benchmark(df.unionByName(df), benchmark, block_chars=200).count() == 2 * len(texts)
 
 
+@pytest.mark.parametrize("chars", [4_000_000, 40])
+def test_decontamination_keeps_rows_of_one_id_apart(spark, chars):
+    benchmark = spark.createDataFrame([(1, "a first item of the benchmark"), (2, "some second item of the same")], "item_id long, text string")
+    rows = [(1, "here a first item of the benchmark stands"), (1, "and some second item of the same here"), (1, "neither"), (None, "neither"), (None, "a first item of the benchmark")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.doc_id or 0, [x.item_id for x in r["items"]]) for r in decontaminate.match_benchmark(df, benchmark, block_chars=chars).collect())
+    assert got == [(0, []), (0, [1]), (1, []), (1, [1]), (1, [2])]
+    assert decontaminate.drop_contaminated(df, benchmark, block_chars=chars).count() == 2
+
+
 def clusters(rng, n):
     centres = rng.standard_normal((12, 16))
     return np.concatenate([centres[rng.integers(12, size=n)] + rng.standard_normal((n, 16)) * 0.25, rng.standard_normal((n, 16))]).astype(np.float32)

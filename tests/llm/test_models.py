@@ -141,7 +141,7 @@ def test_pipeline_equals_its_parts(spark):
                 parent[max(x, y)] = min(x, y)
     kept = {i for i in sets if root(i) == i}
     assert set(steps["near_dedup"]) == kept
-    finder = decontaminate.Finder([(r.item_id, r.text) for r in bench.collect()], 24)
+    finder = decontaminate.Finder([(r.item_id, r.text) for r in bench.collect()])
     assert set(steps["decontaminate"]) == {i for i in kept if not finder.find(decontaminate.reduced(want[i]))}
     assert set(steps["encode"]) == set(steps["decontaminate"]) and all(len(r.ids) == r.n_ids for r in steps["encode"].values())
     assert {r.doc_id: r.ids for r in p.run(spark, SF).collect()} == {i: r.ids for i, r in steps["encode"].items()}
