@@ -100,6 +100,23 @@ def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if small_count(df, limit) <= limit else df
 
 
+#: Stands for a null id, so that it ranks last.
+LAST = (1 << 63) - 1
+
+
+def identity(docs: DataFrame) -> tuple[Column, Column]:
+    """What tells documents apart and orders them: doc_id, null last, then a hash of the text; rows repeated whole are one document."""
+    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(docs["text"].cast("string"))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """A text column, null as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -14,8 +14,7 @@ from tidewell.llm.neardup import op7_near_dedup
 from tidewell.llm.pieces import op10_sentencepiece
 from tidewell.llm.pii import op2_pii
 from tidewell.llm.quality import op3_quality
-from tidewell.llm.substrings import op6_substring_dedup
-from tidewell.llm import urls
+from tidewell.llm import substrings, urls
 from tidewell.llm.vectordedup import op9_embedding_dedup
 
 
@@ -28,7 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_line_dedup": op4_line_dedup,
         "op5_decontaminate": op5_decontaminate,
-        "op6_substring_dedup": op6_substring_dedup,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_near_dedup": op7_near_dedup,
         "op8_url_filter": urls.op8_url_filter,
         "op9_embedding_dedup": op9_embedding_dedup,
@@ -38,7 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT_SQL, "op7_near_dedup": NEAR_SQL, "op8_url_filter": urls.ORACLE_SQL, "op9_embedding_dedup": VECTOR_SQL}
+    return {"op1_chat_format": CHAT_SQL, "op6_substring_dedup": substrings.ORACLE_SQL, "op7_near_dedup": NEAR_SQL, "op8_url_filter": urls.ORACLE_SQL, "op9_embedding_dedup": VECTOR_SQL}
 
 
 NEAR_SQL = r"""
