@@ -1,6 +1,7 @@
 """Chat formatting, personal data, URLs: against plain Python."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -133,14 +134,33 @@ def test_urls(spark, bits):
     assert urls.judge(df.limit(0), listed.limit(0)).count() == 0
 
 
-def test_hosts_of_many_labels(spark, tmp_path):
-    far = "spam." + ".".join(f"l{k}" for k in range(40)) + ".net"
-    found = [f"http://{far}/x", f"http://www.{far}/", f"http://{far[5:]}/", f"http://casino.{'a.' * 50}example.org/es/", "http://ok.net/"]
+@pytest.mark.parametrize("labels", [40, 120])
+def test_hosts_of_many_labels(spark, labels):
+    far = "x." + ".".join(f"l{k}" for k in range(labels)) + ".net"
+    found = [f"http://{far}/x", f"http://www.{far}/", f"http://{far[2:]}/", f"http://{'a.' * labels}example.org/es/", "http://ok.net/"]
+    df = spark.createDataFrame(list(enumerate(found)), "page_id long, url string")
+    listed = spark.createDataFrame([(far,), ("example.org",)], "host string")
+    got = {r.page_id: (r.verdict, r.listed) for r in urls.judge(df, listed, rules=()).collect()}
+    assert got == {0: ("block", True), 1: ("block", True), 2: ("allow", False), 3: ("block", True), 4: ("allow", False)}
+
+
+def test_blocklist_reaches_subdomains(spark, tmp_path):
+    found = ["http://free-bets.example.net/en/1", "http://m.spam-farm1999.example.org/x", "http://spam-farm2000.example.net/", "http://xfree-bets.example.net/", "http://free-bets.example.org/en/2", "http://adult-x.example.com/fr/1"]
     spark.createDataFrame(list(enumerate(found)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r.page_id: (r.verdict, r.listed) for r in urls.op8_url_filter(spark, str(tmp_path)).collect()}
-    assert got == {0: ("block", True), 1: ("block", True), 2: ("allow", False), 3: ("block", True), 4: ("allow", False)}
-    out = urls.judge(spark.createDataFrame([(1, f"http://www.{far}/")], "page_id long, url string"), spark.createDataFrame([(far,)], "host string"), rules=())
-    assert [r.listed for r in out.collect()] == [True]
+    assert got == {0: ("block", True), 1: ("allow", True), 2: ("allow", False), 3: ("allow", False), 4: ("allow", True), 5: ("allow", True)}
+
+
+@pytest.mark.parametrize("n,listed,bits", [(1_000_000, 1, urls.BLOCK_BITS), (300_000, 30_000, 1 << 16), (50_000, 40_000, 1 << 15)])
+def test_levels_of_a_block_are_bounded(spark, n, listed, bits):
+    keys = spark.range(n).select(F.concat(F.lit("k"), "id").alias("key"), (F.col("id") < listed).alias("listed"))
+    blocks = 0
+    for c in urls.build(keys, bits):
+        total, blocks = sum(x.bits for x in c.levels), c.blocks
+        assert total <= bits and total <= 1.25 * urls.planned_bits(listed, n - listed) + urls.LEAST_BITS * len(c.levels)
+        if c.block == 2:
+            break
+    assert blocks == max(1, math.ceil(1.25 * urls.planned_bits(listed, n - listed) / bits))
 
 
 def test_cascade_is_exact(spark):

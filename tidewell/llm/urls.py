@@ -5,9 +5,13 @@ the keys of U that level 0 takes for listed; level 2 of the listed keys that lev
 so on until a level makes no mistake. A key of U is looked up by walking down until a level says no, so
 membership is exact over U without a join. U is the complete set of keys that occur in the corpus.
 
-Keys are hashed by Spark; bitmaps are filled by an aggregation over words of 64 bits. All levels of one
-block of keys have at most `block_bits` bits and are broadcast; more keys make more blocks (dealt by hash,
-each looked up in a pass of its own), so a broadcast is bounded whatever the size of the list.
+Keys are hashed by Spark; bitmaps are filled by an aggregation over words of 64 bits. Level 0 has as many
+hashes as leave about as many false positives as there are listed keys, so that all levels together have
+some 1.44 * (log2(unlisted / listed) + 3) bits for each listed key. Keys are dealt to blocks by a hash, as
+many as it takes for the levels of one to have at most `block_bits` bits, reckoned with a quarter to spare
+(a level has at least LEAST_BITS).
+Blocks are built, broadcast and looked up one at a time, a pass over the pages each, so a broadcast is
+bounded whatever the sizes of list and corpus.
 
 Rules (host, path, verdict) are found through the same structure: the keys are every suffix of a page's
 host with every prefix of its path that is as long as some rule's path; the longest listed one wins.
@@ -27,10 +31,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import written
+from tidewell.llm.common import forget, written
 
 
 @dataclass(frozen=True)
@@ -48,8 +53,11 @@ RULES = (
     Rule("org", "/", "allow"), Rule("example.org", "/es/", "block"), Rule("example.org", "/en/1", "block"),
     Rule("com", "/fr/", "allow"), Rule("com", "/de/", "block"),
 )
-#: Words in a host's name by which op8's blocklist lists it.
-UNWANTED = ("casino", "pills", "adult", "bets", "ads-", "spam")
+MASK = (1 << 64) - 1
+BLOCK_BITS, LEAST_BITS = 1 << 26, 1024
+#: op8's blocklist, as a file would give it: these names under these domains, plain and with the numbers below NUMBERED attached.
+NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+DOMAINS, NUMBERED = ("example.com", "example.net", "example.org"), 2000
 
 
 def hashed(key: Column) -> tuple[Column, Column]:
@@ -58,7 +66,7 @@ def hashed(key: Column) -> tuple[Column, Column]:
 
 def places(h1: np.ndarray, h2: np.ndarray, depth: int, hashes: int, bits: int) -> Iterator[np.ndarray]:
     """The bits of keys in a level, in another way at every depth."""
-    x = h1 + np.uint64(depth + 1) * np.uint64(0x9E3779B97F4A7C15)
+    x = h1 + np.uint64((depth + 1) * 0x9E3779B97F4A7C15 & MASK)
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     for k in range(hashes):
@@ -95,10 +103,19 @@ class Cascade:
         return out
 
 
-def _level(keys: DataFrame, depth: int, n: int, rate: float) -> Level:
+def first_hashes(listed: int, unlisted: int) -> int:
+    """Hashes of level 0: as many as leave no more false positives than listed keys."""
+    return max(1, math.ceil(math.log2(max(1, unlisted) / max(1, listed)))) if unlisted > listed else 1
+
+
+def planned_bits(listed: int, unlisted: int) -> int:
+    """Bits of all levels: each later level halves what the one before the last had."""
+    return math.ceil(listed * (first_hashes(listed, unlisted) + 3) / math.log(2))
+
+
+def _level(keys: DataFrame, depth: int, n: int, hashes: int) -> Level:
     """A Bloom filter of the n keys (h1, h2), its bitmap put together from at most bits / 64 words."""
-    hashes = max(1, round(-math.log2(rate)))
-    bits = max(64, math.ceil(n * hashes / math.log(2) / 64) * 64)
+    bits = max(LEAST_BITS, math.ceil(n * hashes / math.log(2) / 64) * 64)
 
     def positions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,29 +132,37 @@ def _level(keys: DataFrame, depth: int, n: int, rate: float) -> Level:
     return Level(depth, bits, hashes, words)
 
 
-def build(universe: DataFrame, block_bits: int = 1 << 28) -> Iterator[Cascade]:
+def build(universe: DataFrame, block_bits: int = BLOCK_BITS) -> Iterator[Cascade]:
     """Cascades, a block of keys at a time, from (key, listed) rows; a key listed once is listed."""
     h1, h2 = hashed(F.col("key"))
     keys = written(universe.where("key is not null").groupBy("key").agg(F.max("listed").alias("listed")).select(h1.alias("h1"), h2.alias("h2"), "listed"), "keys")
-    total = keys.where("listed").count()
-    blocks = max(1, math.ceil(total * 16 / block_bits))
+    inside, all_ = keys.agg(F.count_if("listed"), F.count("*")).first()
+    blocks = max(1, math.ceil(planned_bits(inside, all_ - inside) * 1.25 / block_bits))
     for block in range(blocks):
         mine = keys.where(F.pmod(F.shiftrightunsigned("h1", 33), F.lit(blocks)) == block) if blocks > 1 else keys
-        inside, outside = mine.where("listed"), mine.where(~F.col("listed"))
-        levels: list[Level] = []
-        while n := inside.count():
-            if len(levels) > 60:
-                raise RuntimeError("two keys, one listed and one not, have the same hashes")
-            level = _level(inside, len(levels), n, 0.01 if not levels else 0.5)
-            levels.append(level)
-            inside, outside = outside.where(_member(keys.sparkSession, level)), inside
-            inside = written(inside, "false")
-        yield Cascade(block, blocks, levels)
-
-
-def _member(spark: SparkSession, level: Level) -> Column:
-    shared = spark.sparkContext.broadcast(level)
-
+        yield Cascade(block, blocks, _levels(mine))
+    forget(keys)
+
+
+def _levels(keys: DataFrame) -> list[Level]:
+    inside, outside = keys.where("listed"), keys.where(~F.col("listed"))
+    levels: list[Level] = []
+    hashes = first_hashes(inside.count(), outside.count())
+    while n := inside.count():
+        if len(levels) > 90:
+            raise RuntimeError("two keys, one listed and one not, have the same 128 bits of hashes")
+        level = _level(inside, len(levels), n, hashes if not levels else 1)
+        levels.append(level)
+        shared = keys.sparkSession.sparkContext.broadcast(level)
+        wrong = written(outside.where(_member(shared)), "false")
+        shared.destroy()
+        if len(levels) > 2:  # the two before came from keys
+            forget(outside)
+        inside, outside = wrong, inside
+    return levels
+
+
+def _member(shared: Broadcast) -> Column:
     @F.pandas_udf("boolean")
     def has(h1: pd.Series, h2: pd.Series) -> pd.Series:
         return pd.Series(shared.value.has(h1.to_numpy().view(np.uint64), h2.to_numpy().view(np.uint64)))
@@ -186,7 +211,7 @@ def suffixes(host: Column, most_labels: int) -> Column:
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.transform(at, lambda k: F.array_join(F.slice(labels, -k, k), ".")))
 
 
-def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, block_bits: int = 1 << 28) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES, block_bits: int = BLOCK_BITS) -> DataFrame:
     """page_id, host, path, rule, verdict, listed for every row of (page_id, url). listed: (host), the blocklist."""
     spark = pages.sparkSession
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
@@ -206,7 +231,11 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES,
     p = p.withColumn("is_rule", _listed(list(build(of_rules, block_bits)), spark, F.col("keys")))
     p = p.withColumn("on_list", F.lit(False))
     for cascade in build(of_hosts, block_bits):
-        p = p.withColumn("on_list", F.col("on_list") | F.exists(_listed([cascade], spark, F.col("hosts")), lambda x: x))
+        before, p = p, p.withColumn("on_list", F.col("on_list") | F.exists(_listed([cascade], spark, F.col("hosts")), lambda x: x))
+        if cascade.block + 1 < cascade.blocks:  # the last pass is left to the caller's plan
+            p = written(p, "judged")
+            if hasattr(before, "_tidewell_path"):
+                forget(before)
     best = F.element_at(
         F.array_sort(F.transform(F.filter(F.arrays_zip(F.col("keys").alias("key"), F.col("is_rule").alias("hit")), lambda z: z["hit"]), lambda z: F.struct((-F.length(z["key"])).alias("n"), z["key"].alias("key")))), 1
     )
@@ -217,27 +246,37 @@ def judge(pages: DataFrame, listed: DataFrame, rules: tuple[Rule, ...] = RULES,
     return p.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.col("on_list").alias("listed"))
 
 
+def blocklist(spark: SparkSession) -> DataFrame:
+    """(host): op8's list, known before any page is read; nearly all of it is in no page."""
+    names = F.explode(F.array(*[F.lit(f"{n}{{}}.{d}") for n in NAMES for d in DOMAINS])).alias("host")
+    return spark.range(NUMBERED).select("id", names).select(F.replace("host", F.lit("{}"), F.when(F.col("id") > 0, F.col("id").cast("string")).otherwise("")).alias("host"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every url of pages; the blocklist has the hosts with an unwanted word in their name."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    hosts = pages.select(host_of(F.col("url")).alias("host")).distinct()
-    return judge(pages, hosts.where(F.col("host").rlike("|".join(UNWANTED))))
+    """The verdict on every url of pages, by rules and a list of domains."""
+    return judge(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url"), blocklist(spark))
 
 
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH cut AS (
   SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), parts AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), list AS (
+  SELECT name || CASE WHEN i > 0 THEN CAST(i AS VARCHAR) ELSE '' END || '.' || domain AS h
+  FROM (VALUES ('ads-track'), ('adult-x'), ('casino-win'), ('cheap-pills'), ('free-bets'), ('spam-farm')) a(name),
+    (VALUES ('example.com'), ('example.net'), ('example.org')) b(domain), range(2000) c(i)
+), suffixes AS (
+  SELECT host, unnest(list_transform(range(1, len(string_split(host, '.')) + 1), lambda k: array_to_string(string_split(host, '.')[k:], '.'))) AS h FROM (SELECT DISTINCT host FROM parts)
+), hosts AS (
+  SELECT host, bool_or(list.h IS NOT NULL) AS listed FROM suffixes LEFT JOIN list USING (h) GROUP BY host
 ), hits AS (
   SELECT p.*, r.rule, r.verdict AS v, row_number() OVER (PARTITION BY page_id, p.host, p.path ORDER BY length(r.rule) DESC NULLS LAST) AS k
   FROM parts p LEFT JOIN (VALUES ('org', '/', 'org/', 'allow'), ('example.org', '/es/', 'example.org/es/', 'block'),
     ('example.org', '/en/1', 'example.org/en/1', 'block'), ('com', '/fr/', 'com/fr/', 'allow'), ('com', '/de/', 'com/de/', 'block')) r(host, start, rule, verdict)
   ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.start)
 )
-SELECT page_id, host, path, rule,
-       coalesce(v, CASE WHEN regexp_matches(host, 'casino|pills|adult|bets|ads-|spam') THEN 'block' ELSE 'allow' END) AS verdict,
-       regexp_matches(host, 'casino|pills|adult|bets|ads-|spam') AS listed
-FROM hits WHERE k = 1
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM hits JOIN hosts USING (host) WHERE k = 1
 """
