@@ -7,7 +7,7 @@ membership is exact over U without a join. U is the complete set of keys that oc
 
 Keys are hashed by Spark; bitmaps are filled by an aggregation over words of 64 bits. Level 0 has as many
 hashes as leave about as many false positives as there are listed keys, so that all levels together have
-some 1.44 * (log2(unlisted / listed) + 3) bits for each listed key. Keys are dealt to blocks by a hash, as
+some 1.44 * (log2(unlisted / listed) + 4) bits for each listed key. Keys are dealt to blocks by a hash, as
 many as it takes for the levels of one to have at most `block_bits` bits, reckoned with a quarter to spare
 (a level has at least LEAST_BITS).
 Blocks are built, broadcast and looked up one at a time, a pass over the pages each, so a broadcast is
@@ -55,6 +55,8 @@ RULES = (
 )
 MASK = (1 << 64) - 1
 BLOCK_BITS, LEAST_BITS = 1 << 26, 1024
+#: Hashes of every level but the first: few, as their keys are few; more would save levels and cost bits.
+LATER = 3
 #: op8's blocklist, as a file would give it: these names under these domains, plain and with the numbers below NUMBERED attached.
 NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 DOMAINS, NUMBERED = ("example.com", "example.net", "example.org"), 2000
@@ -104,13 +106,13 @@ class Cascade:
 
 
 def first_hashes(listed: int, unlisted: int) -> int:
-    """Hashes of level 0: as many as leave no more false positives than listed keys."""
-    return max(1, math.ceil(math.log2(max(1, unlisted) / max(1, listed)))) if unlisted > listed else 1
+    """Hashes of level 0: as many as leave no more false positives than listed keys, and no fewer than a later level has."""
+    return max(LATER, math.ceil(math.log2(max(1, unlisted) / max(1, listed))))
 
 
 def planned_bits(listed: int, unlisted: int) -> int:
-    """Bits of all levels: each later level halves what the one before the last had."""
-    return math.ceil(listed * (first_hashes(listed, unlisted) + 3) / math.log(2))
+    """Bits of all levels: a later level has an eighth of the keys of the one before the last."""
+    return math.ceil(listed * (first_hashes(listed, unlisted) + LATER * 9 / 7) / math.log(2))
 
 
 def _level(keys: DataFrame, depth: int, n: int, hashes: int) -> Level:
@@ -151,7 +153,7 @@ def _levels(keys: DataFrame) -> list[Level]:
     while n := inside.count():
         if len(levels) > 90:
             raise RuntimeError("two keys, one listed and one not, have the same 128 bits of hashes")
-        level = _level(inside, len(levels), n, hashes if not levels else 1)
+        level = _level(inside, len(levels), n, hashes if not levels else LATER)
         levels.append(level)
         shared = keys.sparkSession.sparkContext.broadcast(level)
         wrong = written(outside.where(_member(shared)), "false")
