@@ -328,16 +328,59 @@ def clusters(rng, n):
     return np.concatenate([centres[rng.integers(12, size=n)] + rng.standard_normal((n, 16)) * 0.25, rng.standard_normal((n, 16))]).astype(np.float32)
 
 
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_graph_recall():
-    x = clusters(np.random.default_rng(5), 1500)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    g = Graph.build(x)
-    ef, slack, recall = g.audited(0.9, 0.99)
+    x = unit(clusters(np.random.default_rng(5), 1500))
+    g = Graph.build(x[:2500])
+    ef, slack, recall = g.audited(0.9, 0.99, x[2500:])
     row, node = g.within(x[:700], 0.9, ef, slack)
-    true = x[:700] @ x.T >= 0.9
+    true = x[:700] @ x[:2500].T >= 0.9
     assert recall >= 0.99 and len(row) >= 0.99 * true.sum() and true[row, node].all()
 
 
+def test_audit_sees_a_bad_graph_without_links_in_the_data():
+    rng = np.random.default_rng(6)
+    x = unit(rng.standard_normal((3000, 48))).astype(np.float32)
+    g = Graph.build(x)
+    none = np.zeros((0, 48))
+    good = g.audited(0.9, 0.99, none)
+    # without most links a narrow beam finds itself, as it starts anywhere, but not the nodes near a query
+    g.links = [np.where(rng.random(l.shape) < 0.85, -1, l).astype(np.int32) for l in g.links]
+    bad = g.audited(0.9, 0.99, none)
+    assert good[2] >= 0.99 and bad[0] > good[0]
+    _, _, recall = Graph(x[:5], np.zeros(5, dtype=np.int64), [np.full((5, 4), -1, dtype=np.int32)]).audited(0.9, 0.99, none)
+    assert recall < 0.99  # nothing can be found, and the audit says so
+
+
+def test_few_links_between_shards_are_found(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 40))
+    for k in range(100):  # pairs of cosine 0.91 to 0.99, spread over all shards
+        noise = rng.standard_normal(40)
+        noise -= noise @ x[k] / (x[k] @ x[k]) * x[k]
+        x[2900 + k] = x[k] + noise / np.linalg.norm(noise) * np.linalg.norm(x[k]) * np.tan(np.arccos(0.91 + 0.0008 * k))
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    got = {r.vec_id: r for r in vectordedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), shard=400).collect()}
+    v = unit(x)
+    close = v @ v.T >= 0.9
+    links = [(a, b) for a, b in zip(*np.nonzero(close)) if a < b]
+    assert len(links) >= 100
+    found = sum(got[a].n_links > 0 and got[b].n_links > 0 and got[a].component_id == got[b].component_id for a, b in links)
+    assert found >= 0.97 * len(links)
+    assert sum(r.n_links for r in got.values()) % 2 == 0  # both ends of a link count it
+    assert all(r.n_links <= close[k].sum() - 1 for k, r in got.items())
+
+
+def test_vectors_without_ids_and_ids_with_several_vectors(spark):
+    e = lambda *at: [1.0 if k in at else 0.0 for k in range(8)]
+    rows = [(None, e(0)), (None, e(1)), (5, e(0)), (6, e(1)), (7, e(2)), (7, e(3)), (8, e(3)), (9, e(2)), (None, e(4)), (None, e(5)), (None, e(4))]
+    got = sorted(tuple(-1 if x is None else x for x in r) for r in vectordedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == sorted([(-1, 1, 5, False), (-1, 1, 6, False), (5, 1, 5, True), (6, 1, 6, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 7, False), (9, 1, 7, False), (-1, 1, -1, True), (-1, 1, -1, True), (-1, 0, -1, True)])
+
+
 def test_vectors_equal_brute_force(spark):
     x = clusters(np.random.default_rng(6), 250)
     rows = [(10 + k, v.tolist()) for k, v in enumerate(x)] + [(1000 + k, x[3].tolist()) for k in range(40)] + [(2000, (x[3] * 1e-30).tolist()), (2001, (x[5] * 7).tolist())]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -19,11 +20,13 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder for tables between stages: spark.checkpoint.dir, which all machines share.
 
-    Only where the session names none (tests on one machine) is a temporary folder made.
+    Only where the session names none and runs on one machine (tests) is a temporary folder made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     app = spark.sparkContext.applicationId
     if app not in _OWN:
+        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         base = base or "file://" + tempfile.mkdtemp(prefix="tidewell-")
         _OWN[app] = f"{base.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, _OWN[app])
@@ -75,10 +78,15 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = shared_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tidewell_path = path
@@ -149,7 +157,7 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield stars()
 
 
-def components(nodes: DataFrame, edges: DataFrame, few: int = FEW_LINKS, rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """Connected components: (id, component) for every id of `nodes`; component is the smallest id reachable.
 
     edges has (a, b), in any direction. Every task first reduces its links to a forest. Up to `few` links
@@ -163,19 +171,20 @@ def components(nodes: DataFrame, edges: DataFrame, few: int = FEW_LINKS, rounds:
         stars = written(e.coalesce(1).mapInArrow(_forest, "a long, b long"), "cc")
         leaves = broadcast_if_small(stars, few)
     else:
-        leaves = _stars(e, rounds)
+        leaves = _stars(e)
     leaves = leaves.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return nodes.select("id").join(leaves, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _stars(e: DataFrame, rounds: int) -> DataFrame:
-    for _ in range(rounds):
+def _stars(e: DataFrame) -> DataFrame:
+    while True:  # every round that does not settle joins stars; their number falls until none can be joined
         # large star: every neighbour larger than the node is linked with the smallest of the neighbourhood
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        big = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        # written, here and below, so that the join deals both sides anew and a hub can be split
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        big = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "big")
         # small star: every smaller neighbour, and the node, is linked with the smallest of them
-        least2 = big.groupBy("a").agg(F.min("b").alias("m"))
+        least2 = written(big.groupBy("a").agg(F.min("b").alias("m")), "least")
         joined = big.join(least2, "a")
         small = (
             joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -188,8 +197,8 @@ def _stars(e: DataFrame, rounds: int) -> DataFrame:
         tangled = nxt.groupBy("a").agg(F.countDistinct("b").alias("n")).where("n > 1").select("a").unionByName(
             nxt.join(centres, "a", "left_semi").select("a")
         )
-        forget(e)
+        for t in (e, least, big, least2):
+            forget(t)
         e = nxt
         if not tangled.limit(1).count():
             return e
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
