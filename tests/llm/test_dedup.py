@@ -90,6 +90,19 @@ def test_near_duplicate_edge_cases(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [5, 5, 5, 7]
 
 
+def test_near_duplicates_without_ids(spark):
+    rng = random.Random(31)
+    a, b, c = (" ".join(words(rng, 60)) for _ in range(3))
+    rows = [(None, a + " x"), (5, a), (None, b + " y"), (9, b), (None, c), (None, c + " z"), (None, c), (None, ""), (None, None)]
+    df = spark.createDataFrame(rows, DOCS)
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in neardup.near_duplicates(df).collect())
+    # null ids join nothing by themselves: a and b stay apart
+    c_kept = sum(r[2] for r in got if r[:2] == (-1, -1)) - 2
+    assert [r for r in got if r[1] > 0] == [(-1, 5, False), (-1, 9, False), (5, 5, True), (9, 9, True)] and c_kept in (1, 2)
+    kept = [r.text for r in neardup.keep_one(df).collect()]
+    assert a in kept and b in kept and "" in kept and None in kept and len({t for t in kept if t and t.startswith(c)}) == 1 and len(kept) == 4 + c_kept
+
+
 def test_sketch_bounds():
     rng = random.Random(1)
     for _ in range(200):

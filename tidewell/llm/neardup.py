@@ -4,7 +4,7 @@ A document's set is that of its distinct word shingles (64-bit hashes). BANDS *
 give BANDS bucket keys, and are folded into an odd sketch: a bitmap in which every sample flips one
 bit, so that the population count of the XOR of two sketches estimates high similarities closely.
 
-1. Equal sets are one class, shown by its smallest id; only classes go on.
+1. Equal sets are one class with a number of its own; only classes go on.
 2. In every bucket, members meet the bucket's smallest member (the pivot), not each other. Pairs that
    the sketches and the set sizes allow are verified on the full sets, and the links united.
 3. In buckets that still hold several components, members outside the bucket's largest component meet
@@ -19,8 +19,9 @@ nothing, and for documents of up to some hundreds of words it leaves hardly any
 
 Edge cases: null and empty texts, or texts without words, have an empty set and are linked with
 nothing; a text with fewer words than a shingle is one shingle; rows that share a doc_id are one node
-for linking; rows repeated whole get the same result; a null doc_id is a node of its own, with a null
-component; very long texts are hashed whole; other columns are ignored; an empty table gives no rows.
+for linking; rows repeated whole get the same result; rows with a null doc_id are linked by their texts
+only, and of a component of such rows, which is null, those with the first text by hash are kept; very
+long texts are hashed whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,12 +35,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import broadcast_if_small, components, forget, written
+from tidewell.llm.common import LAST, broadcast_if_small, components, forget, identity, written
 
 BANDS, ROWS, BITS, SET_BITS = 36, 5, 512, 1024
 SAMPLES = BANDS * ROWS
 LONGS, SET_LONGS = BITS // 64, SET_BITS // 64
-LAST = (1 << 63) - 1
 #: Ids (8 bytes each) that may be broadcast once counted.
 FEW_IDS = 500_000
 _RNG = np.random.default_rng(20240229)
@@ -105,7 +105,7 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
             for a in range(0, b.num_rows, 512):
                 p = b.slice(a, 512)
                 n, d1, d2, keys, odd = [], [], [], [], []
-                for t in p.column(1).to_pylist():
+                for t in p.column(2).to_pylist():
                     s = shingles(t, words)
                     n.append(len(s))
                     d = xxhash.xxh3_128_intdigest(s.tobytes())
@@ -113,11 +113,11 @@ def _sketches(docs: DataFrame, words: int) -> DataFrame:
                     x, y = folded(minhash(s)) if len(s) else (np.zeros(0, np.int64), np.zeros(LONGS, np.int64))
                     keys.append(x), odd.append(np.concatenate([y, parity(s)]))
                 yield pa.RecordBatch.from_arrays(
-                    [p.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                    names=["i", "n", "d1", "d2", "keys", "odd"],
+                    [p.column(0), p.column(1), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                    names=["i", "k", "n", "d1", "d2", "keys", "odd"],
                 )
 
-    return docs.mapInArrow(run, "i long, n long, d1 long, d2 long, keys array<long>, odd array<long>")
+    return docs.mapInArrow(run, "i long, k long, n long, d1 long, d2 long, keys array<long>, odd array<long>")
 
 
 def _may_link(least: int, of: int) -> Column:
@@ -129,18 +129,18 @@ def _may_link(least: int, of: int) -> Column:
     return sizes & whole & (differ(0, LONGS) <= sketch_bound(least / of))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int, of: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, least: int, of: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[str, np.ndarray]] = {}
+        kept: dict[int, np.ndarray] = {}
 
-        def set_of(i: int, t: str | None) -> np.ndarray:
-            if i not in kept or kept[i][0] != t:
+        def set_of(c: int, t: str | None) -> np.ndarray:
+            if c not in kept:
                 if len(kept) > 64:
                     kept.clear()
-                kept[i] = (t, shingles(t, words))
-            return kept[i][1]
+                kept[c] = shingles(t, words)
+            return kept[c]
 
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -152,76 +152,97 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: int, of: in
                         out.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    ids = written(pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct(), "wanted")
-    # only the texts of candidates move; a row repeated whole is one text
-    some = written(texts.join(broadcast_if_small(ids, FEW_IDS), "i", "left_semi").dropDuplicates(["i", "text"]), "texts")
+    # only the text that shows each candidate moves; a row repeated whole is one text
+    wanted = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    wanted = written(classes.select("c", "i", "k").join(broadcast_if_small(written(wanted, "wanted"), FEW_IDS), "c"), "wanted")
+    some = written(texts.join(broadcast_if_small(wanted, FEW_IDS), ["i", "k"]).dropDuplicates(["c"]).select("c", "text"), "texts")
     full = (
-        pairs.join(some.select(F.col("i").alias("a"), F.col("text").alias("ta")), "a")
-        .join(some.select(F.col("i").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        pairs.join(some.select(F.col("c").alias("a"), F.col("text").alias("ta")), "a")
+        .join(some.select(F.col("c").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
     )
     out = written(full.mapInArrow(run, "a long, b long").distinct(), "links")
-    for t in (ids, some):
+    for t in (wanted, some):
         forget(t)
     return out
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, of: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row. Linked: of * |A & B| >= least * |A | B|."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("i"), F.col("text").cast("string").alias("text"))
+def _of_one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between classes with rows of one id."""
+    known = rows.where((F.col("i") != LAST) & (F.col("n") > 0)).select("i", "d1", "d2")
+    several = known.groupBy("i").agg(F.min("d1").alias("x"), F.max("d1").alias("y"), F.min("d2").alias("z"), F.max("d2").alias("w")).where("x <> y or z <> w")
+    several = broadcast_if_small(written(several.select("i"), "several"), FEW_IDS)
+    of = written(known.join(several, "i").distinct().join(classes.select("d1", "d2", "c"), ["d1", "d2"]).select("i", "c"), "several")
+    return of.join(of.groupBy("i").agg(F.min("c").alias("b")), "i").select(F.col("c").alias("a"), "b").where("a <> b")
+
+
+def _components(texts: DataFrame, words: int, least: int, of: int) -> DataFrame:
+    """i, k, n, component, kept for every row of (i, k, text)."""
     all_rows = written(_sketches(texts, words), "sketches")
     some = all_rows.where("n > 0")
-    classes = written(some.groupBy("d1", "d2").agg(F.min("i").alias("rep")), "classes")
-    mine = some.join(classes, ["d1", "d2"]).where("i = rep").dropDuplicates(["d1", "d2"]).select("i", "n", "keys", "odd")
-    mine = written(mine, "members")
-    slim = mine.select("i", "n", "odd")
-    side = lambda s: slim.select(F.col("i").alias(s), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"o{s}"))
+    # equal sets have equal sketches; a class is shown by its first row and named by a number, fixed as the table is written
+    mine = some.groupBy("d1", "d2").agg(F.min(F.struct("i", "k")).alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("odd").alias("odd"))
+    mine = written(mine.select("d1", "d2", "at.i", "at.k", "n", "keys", "odd", F.monotonically_increasing_id().alias("c")), "classes")
+    slim = mine.select("c", "n", "odd")
+    side = lambda s: slim.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"o{s}"))
 
-    buckets = mine.select("i", F.explode("keys").alias("key"))
+    buckets = mine.select("c", F.explode("keys").alias("key"))
     # written, here and below, so that the join deals both sides anew and a bucket of many members can be split
-    shared = written(buckets.groupBy("key").agg(F.min("i").alias("p"), F.max("i").alias("q")).where("p <> q").select("key", "p"), "shared")
-    inside = written(buckets.join(shared, "key").select("key", "i", "p"), "buckets")
+    shared = written(buckets.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("key", "p"), "shared")
+    inside = written(buckets.join(shared, "key").select("key", "c", "p"), "buckets")
     near = (
-        inside.where("i <> p").select(F.col("i").alias("a"), F.col("p").alias("b")).distinct()
+        inside.where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
         .join(side("a"), "a").join(side("b"), "b").where(_may_link(least, of)).select("a", "b")
     )
     near = written(near, "pivots")
-    links = _verified(near, texts, words, least, of)
-    ids = mine.select(F.col("i").alias("id")).distinct()
+    links = written(_verified(near, mine, texts, words, least, of).unionByName(_of_one_id(all_rows, mine)), "links")
+    ids = mine.select(F.col("c").alias("id"))
     comp = written(components(ids, links), "components")
 
     # buckets of several components: who is outside the largest meets all of other components
-    with_c = inside.join(comp.withColumnRenamed("id", "i"), "i").select("key", "i", F.col("component").alias("c"))
-    sizes = with_c.groupBy("key", "c").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "c")).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", F.col("x.c").alias("main"))
+    with_c = inside.join(comp.withColumnsRenamed({"id": "c", "component": "r"}), "c").select("key", "c", "r")
+    sizes = with_c.groupBy("key", "r").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("m", "r")).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", F.col("x.r").alias("main"))
     main = written(main, "main")
-    mixed_in = written(with_c.join(main, "key").join(slim, "i"), "mixed")
-    left = mixed_in.where("c <> main").select("key", F.col("i").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("odd").alias("oa"))
-    right = mixed_in.select("key", F.col("i").alias("b"), F.col("c").alias("cb"), "main", F.col("n").alias("nb"), F.col("odd").alias("ob"))
-    cond = (left["key"] == right["key"]) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(least, of)
+    mixed_in = written(with_c.join(main, "key").join(slim, "c"), "mixed")
+    left = mixed_in.where("r <> main").select("key", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    right = mixed_in.select("key", F.col("c").alias("b"), F.col("r").alias("rb"), "main", F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    cond = (left["key"] == right["key"]) & (F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("main")) | (F.col("a") < F.col("b"))) & _may_link(least, of)
     late = left.join(right, cond).select("a", "b").distinct().join(near.select("a", "b"), ["a", "b"], "left_anti")
     late = late.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
     late = written(late, "late")
     if late.limit(1).count():
-        more = _verified(late, texts, words, least, of)
+        more = _verified(late, mine, texts, words, least, of)
         comp = written(components(ids, links.unionByName(more)), "components")
         forget(more)
+
+    rooted = mine.select("c", "d1", "d2", "i", "k").join(comp.select(F.col("id").alias("c"), F.col("component").alias("r")), "c")
+    first = rooted.groupBy("r").agg(F.min(F.struct("i", "k")).alias("first"))
+    # written, so that rows of a hot text can be split in the join
+    named = written(rooted.join(first, "r").select("d1", "d2", "first"), "named")
     for t in (mine, shared, inside, near, links, mixed_in, main, late):
         forget(t)
+    found = all_rows.select("i", "k", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    alone = F.struct("i", "k")
+    first = F.when(F.col("n") > 0, F.coalesce("first", alone)).otherwise(alone)
+    return found.select("i", "k", "n", first["i"].alias("component"), ((first["i"] == F.col("i")) & ((F.col("i") != LAST) | (first["k"] == F.col("k")))).alias("kept"))
 
-    # rows that share a doc_id are one node: their classes may differ, then they are linked through the id
-    named = classes.join(comp.select(F.col("id").alias("rep"), F.col("component").alias("c")), "rep").select("d1", "d2", "c")
-    found = all_rows.select("i", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
-    component = F.when(F.col("n") > 0, F.coalesce("c", "i")).otherwise(F.col("i"))
-    return found.select(
-        F.when(F.col("i") != LAST, F.col("i")).alias("doc_id"), F.col("n").alias("n_shingles"),
-        F.when(component != LAST, component).alias("component_id"), (component == F.col("i")).alias("kept"),
-    )
+
+def _identified(docs: DataFrame) -> DataFrame:
+    i, k = identity(docs)
+    return docs.select(i.alias("i"), k.alias("k"), F.col("text").cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, least: int = 80, of: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row. Linked: of * |A & B| >= least * |A | B|."""
+    known = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return _components(_identified(docs), words, least, of).select(known("i").alias("doc_id"), F.col("n").alias("n_shingles"), known("component").alias("component_id"), "kept")
 
 
 def keep_one(docs: DataFrame, words: int = 5, least: int = 80, of: int = 100) -> DataFrame:
     """The rows of docs, with all their columns, whose document comes first in its component."""
-    kept = near_duplicates(docs, words, least, of).where("kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("__kept")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)) == kept["__kept"], "left_semi")
+    kept = written(_components(_identified(docs), words, least, of).where("kept").select("i", "k").distinct(), "kept")
+    i, k = identity(docs)
+    return docs.join(kept, (i == kept["i"]) & (k == kept["k"]), "left_semi")
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
