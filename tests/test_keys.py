@@ -1,4 +1,4 @@
-import zlib
+import struct
 
 import pytest
 from hypothesis import given, settings
@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidewell.functions import keys as K
+from tidewell.sources.files import log_entry
 
 coord = st.integers(0, K.SIDE - 1)
 
@@ -72,8 +73,10 @@ def test_shards_of_negative_keys(spark):
 
 def test_checksum(spark):
     df = spark.createDataFrame([(258, b"abc"), (-1, b"")], "key long, value binary")
-    want = [zlib.crc32(k.to_bytes(8, "big", signed=True) + len(v).to_bytes(4, "big") + v) for k, v in ((258, b"abc"), (-1, b""))]
+    want = [struct.unpack("<I", log_entry(k, v)[:4])[0] for k, v in ((258, b"abc"), (-1, b""))]
     assert [r[0] for r in df.select(K.crc_of_col("key", "value")).collect()] == want
+    five = spark.createDataFrame([(5, b"abc")], "key long, value binary")
+    assert five.select(K.crc_of_col("key", "value")).first()[0] == 534331169
 
 
 @settings(max_examples=30)

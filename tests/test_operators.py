@@ -143,7 +143,30 @@ def test_stats():
 
 def test_bloom(spark):
     b = stats.bloom(spark.range(1000).select(F.col("id").alias("key")))
-    assert b.mightContainLong(7) and sum(b.mightContainLong(k) for k in range(10**6, 10**6 + 1000)) < 60
+    ask = lambda keys: [r.maybe for r in stats.may_contain(keys.select(F.col("id").alias("key")), b).collect()]
+    assert all(ask(spark.range(1000))) and sum(ask(spark.range(10**6, 10**6 + 2000))) < 60 and sum(ask(spark.range(-(1 << 62), -(1 << 62) + 2000))) < 60
+    with pytest.raises(ValueError):
+        stats.bloom(spark.range(1).select(F.col("id").alias("key")), n=10**9)
+    nothing = stats.bloom(spark.range(0).select(F.col("id").alias("key")))
+    assert not any(r.maybe for r in stats.may_contain(spark.range(9).select(F.col("id").alias("key")), nothing).collect())
+
+
+def test_positions_of_no_keys(spark):
+    assert learned.positions(spark.range(0).select(F.col("id").alias("key"))).count() == 0
+
+
+def test_appended_keys_stay_within_bounds(spark):
+    keys = spark.range(1000).select((F.col("id") * F.col("id")).alias("key"))
+    old = learned.positions(keys.where("key < 400000"))
+    model = learned.train(old, fanout=8)
+    bounds = learned.error_bounds(learned.predict(old, model, fanout=8))
+    one = old.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("size"))
+    new = learned.positions(keys.where("key >= 400000")).drop("lo", "hi", "size").join(one).withColumn("pos", F.col("pos") + F.col("size"))
+    grown, wide = learned.append(model, bounds, new, fanout=8)
+    was, now = bounds.first(), wide.first()
+    assert now.min_error <= was.min_error and now.max_error >= was.max_error and grown.agg(F.sum("n")).first()[0] == 1000
+    errors = [r.error for r in learned.predict(new, grown, fanout=8).collect()]
+    assert now.min_error <= min(errors) and max(errors) <= now.max_error
 
 
 def test_rising_keys(spark):

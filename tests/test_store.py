@@ -45,6 +45,61 @@ def test_compaction_starts_by_itself(spark, tmp_path):
     assert kv(s.scan(0, 9)) == [(1, b"new"), (3, b"v3")]
 
 
+def test_rows_written_again_grow_with_the_logarithm(spark, tmp_path):
+    s = KVStore(spark, str(tmp_path / "kv"), Config(compaction=3))
+    for k in range(40):
+        s.put_many(frame(spark, *((100 * k + j, b"v%d" % k) for j in range(5)), (7, b"" if k == 39 else b"%d" % k)))
+        assert all(sum(f["level"] == l for f in s.manifest()["folders"]) < 3 for l in range(9))
+    m = s.manifest()
+    levels = [f["level"] for f in m["folders"]]
+    assert levels == sorted(levels, reverse=True) and max(levels) == 3  # 40 = 1111 in base 3
+    assert m["merged"] <= 40 * 6 * 3  # at most once for each level
+    assert s.get(7) is None and s.get(3901) == b"v39" and s.get(0) == b"v0" and s.view().count() == 200
+    s.compact()
+    assert s.view().count() == 200 and len(s.manifest()["folders"]) == 1
+
+
+def test_tombstones_stay_while_older_folders_are_left(spark, tmp_path):
+    s = KVStore(spark, str(tmp_path / "kv"), Config(compaction=2))
+    s.put(1, "a"), s.put(2, "b")
+    s.delete(1), s.put(3, "c")
+    assert s.get(1) is None and kv(s.scan(0, 9)) == [(2, b"b"), (3, b"c")]
+    assert [f["level"] for f in s.manifest()["folders"]] == [2] and s.records().count() == 2
+
+
+def test_damaged_backup_loses_nothing(spark, store, tmp_path):
+    store.put(1, "kept")
+    (tmp_path / "bad.json").write_text('{"generated_at": "x", "record_count": 1, "records": [{"Key": 5, "Value": "%%%"}]}')
+    (tmp_path / "cut.json").write_text('{"generated_at": "x", "record_count": 1, "records": [{"Key": 5, "Va')
+    (tmp_path / "lines" / "records").mkdir(parents=True)
+    (tmp_path / "lines" / "records" / "part.json").write_text('{"Key": 5, "Value": "aGk="}\n{"Key": 6, "Va')
+    for name in ("bad.json", "cut.json", "lines"):
+        with pytest.raises(Exception):
+            store.restore(str(tmp_path / name))
+    with pytest.raises(Exception):
+        store.restore(str(tmp_path / "missing"))
+    assert store.get(1) == b"kept"
+
+
+def test_last_row_of_an_unordered_batch_counts(spark, store):
+    store.put_many(spark.createDataFrame([(k % 7, b"%d" % k) for k in range(700)], "key long, value binary").repartition(1))
+    got = {k: int(v) for k, v in kv(store.scan(0, 9))}
+    assert len(got) == 7
+    store.put_many(spark.createDataFrame([(1, b"a"), (1, b"b"), (2, b"x"), (1, b"c")], "key long, value binary").coalesce(1))
+    assert store.get(1) == b"c"
+    assert [(r.key, bytes(r.value)) for r in store.pending(2, 2).collect()] == [(2, b"x")]
+
+
+def test_import_of_files(spark, store, tmp_path):
+    from tidewell.sources.files import log_entry, sorted_table, write_file
+
+    write_file(spark, str(tmp_path / "f/shard-0-l1-9.sst"), sorted_table([(1, b"one"), (2, b"two"), (3, b"three")]))
+    write_file(spark, str(tmp_path / "f/shard-0-l0-5.sst"), sorted_table([(2, b"newer"), (3, b"newer")]))
+    write_file(spark, str(tmp_path / "f/x.wal"), log_entry(3, b"") + log_entry(4, b"four"))
+    store.import_files(str(tmp_path / "f"))
+    assert kv(store.scan(0, 9)) == [(1, b"one"), (2, b"newer"), (4, b"four")]
+
+
 def test_checkpoint_and_model(spark, store):
     store.put_many(frame(spark, (10, b"ten"), (11, b"eleven")))
     store.checkpoint()

@@ -58,14 +58,22 @@ def _or(parts: list[Column]) -> Column:
     return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
 
+# Masks of ten bits moved apart in four steps, and the widths of the steps.
+MASKS, STEPS = (0x30000FF, 0x300F00F, 0x30C30C3, 0x9249249), (16, 8, 4, 2)
+
+
 def spread_col(c: Column | str) -> Column:
-    c = _long(c)
-    return _or([F.shiftleft(F.shiftright(c, k).bitwiseAND(F.lit(1)), 3 * k) for k in range(SIDE_BITS)])
+    c = _long(c).bitwiseAND(F.lit(SIDE - 1))
+    for step, mask in zip(STEPS, MASKS):
+        c = c.bitwiseOR(F.shiftleft(c, step)).bitwiseAND(F.lit(mask))
+    return c
 
 
 def gather_col(c: Column | str) -> Column:
-    c = _long(c)
-    return _or([F.shiftleft(F.shiftright(c, 3 * k).bitwiseAND(F.lit(1)), k) for k in range(SIDE_BITS)])
+    c = _long(c).bitwiseAND(F.lit(MASKS[-1]))
+    for step, mask in zip(reversed(STEPS), (*reversed(MASKS[:-1]), SIDE - 1)):
+        c = c.bitwiseXOR(F.shiftright(c, step)).bitwiseAND(F.lit(mask))
+    return c
 
 
 def encode3d_col(x: Column | str, y: Column | str, z: Column | str, strict: bool = True) -> Column:
@@ -178,8 +186,13 @@ def epoch_ms(ts: Column | str) -> Column:
     return minute * 60_000 + F.floor(F.date_part(F.lit("SECOND"), ts) * 1000).cast("long")
 
 
+def _little_endian(c: Column, size: int) -> Column:
+    """The hex digits of an integer as `size` bytes, lowest first."""
+    digits = F.lpad(F.hex(c), 2 * size, "0")
+    return F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))])
+
+
 def crc_of_col(key: Column | str, value: Column | str) -> Column:
-    """CRC-32 of a log entry: key and value length as big-endian hex bytes, then the value."""
+    """CRC-32 of a log entry: key (8 bytes) and value length (4), both little-endian, then the value."""
     value = F.col(value) if isinstance(value, str) else value
-    head = F.unhex(F.concat(F.lpad(F.hex(_long(key)), 16, "0"), F.lpad(F.hex(F.length(value)), 8, "0")))
-    return F.crc32(F.concat(head, value))
+    return F.crc32(F.concat(F.unhex(F.concat(_little_endian(_long(key), 8), _little_endian(F.length(value), 4))), value))

@@ -29,8 +29,10 @@ def positions(keys: DataFrame, *shard: str, parts: int = 0) -> DataFrame:
     n = parts or int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = keys.select(F.col("key").cast("double").alias("key")).approxQuantile("key", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    cut = Bucketizer(splits=edges, inputCol="_k", outputCol="_c")
-    dealt = cut.transform(keys.withColumn("_k", F.col("key").cast("double"))).withColumn("_c", F.col("_c").cast("int")).drop("_k")
+    if len(edges) > 2:
+        dealt = Bucketizer(splits=edges, inputCol="_k", outputCol="_c").transform(keys.withColumn("_k", F.col("key").cast("double"))).withColumn("_c", F.col("_c").cast("int")).drop("_k")
+    else:
+        dealt = keys.withColumn("_c", F.lit(0))
     counts = dealt.groupBy(*shard, "_c").agg(F.count("*").alias("_n"), F.min("key").alias("_lo"), F.max("key").alias("_hi"))
     # at most `parts` rows for each shard
     one = Window.partitionBy(*(shard or (F.lit(0),)))
@@ -95,6 +97,19 @@ def error_bounds(found: DataFrame, *shard: str) -> DataFrame:
     )
 
 
+def append(model: DataFrame, bounds: DataFrame, new: DataFrame, *shard: str, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """A model and its error bounds after learning more keys: their sums are added, and the bounds widen to hold them.
+
+    new: key, pos and the shard's lo, hi and size as when the model was trained; keys beyond hi fall into the last
+    bucket. As with any online model, older keys may move out of their bounds; train() again restores these.
+    """
+    more = sums(new.withColumn("bucket", bucket(fanout)), *shard, "bucket")
+    grown = lines(merge_sums(model, more, *shard, "bucket"))
+    wide = error_bounds(predict(new, grown, *shard, fanout=fanout), *shard)
+    both = bounds.unionByName(wide)
+    return grown, both.groupBy(*shard).agg(F.min("min_error").alias("min_error"), F.max("max_error").alias("max_error"))
+
+
 def window_lookup(found: DataFrame, bounds: DataFrame, *shard: str) -> DataFrame:
     """found with the window of places to search, cut to the shard, and how a search goes in it: by steps if it is short, else by halving."""
     w = found.join(bounds, list(shard)) if shard else found.join(F.broadcast(bounds))
@@ -128,10 +143,14 @@ def probe_steps(found: DataFrame, bounds: DataFrame, *shard: str) -> DataFrame:
     return w.select("key", halving(F.col("size")).alias("full_steps"), F.when(F.col("linear"), F.col("pos") - F.col("first") + 1).otherwise(halving(width)).alias("model_steps"))
 
 
+def random_keys(found: DataFrame, lookups: int, seed: int = 1) -> DataFrame:
+    """About `lookups` rows drawn with replacement."""
+    return found.sample(True, min(1000.0, lookups / max(1, found.count())), seed)
+
+
 def benchmark(found: DataFrame, bounds: DataFrame, *shard: str, lookups: int = 50_000, seed: int = 1) -> dict:
     """Mean steps over random keys, drawn with replacement, and the seconds that took."""
-    n = max(1, found.count())
-    picks = found.sample(True, min(1000.0, lookups / n), seed)
+    picks = random_keys(found, lookups, seed)
     began = time.perf_counter()
     full, model, count = probe_steps(picks, bounds, *shard).agg(F.avg("full_steps"), F.avg("model_steps"), F.count("*")).first()
     return {"lookups": count, "full_steps": full, "model_steps": model, "speedup": full / model if model else None, "seconds": time.perf_counter() - began}

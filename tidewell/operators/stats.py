@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: A prime, and two numbers that it is multiplied out with, for the hashes of Bloom filters.
+BLOOM_MOD, BLOOM_BY = 2147483647, (48271, 69621)
 #: name, kind, help and the statistic it shows.
 METRICS = (
     ("reads_total", "counter", "Read operations.", "read_count"),
@@ -48,6 +50,31 @@ def bloom_size(n: int, rate: float) -> tuple[int, int]:
     return bits, max(1, math.ceil(bits / n * math.log(2)))
 
 
-def bloom(keys: DataFrame, rate: float = 0.01, n: int = 0):
-    """Spark's own Bloom filter of column key, built by an aggregation; has mightContainLong() and bitSize()."""
-    return keys._jdf.stat().bloomFilter("key", n or max(1, keys.count()), rate)
+def bloom_places(key: Column | str, bits: int, hashes: int) -> list[Column]:
+    """The bits of a key: two hashes, then steps of the second from the first."""
+    key = (F.col(key) if isinstance(key, str) else key).cast("long")
+    x = F.pmod(key.bitwiseXOR(F.shiftright(key, 32)), F.lit(BLOOM_MOD))
+    a, b = (F.pmod((x + 1) * m, F.lit(BLOOM_MOD)) for m in BLOOM_BY)
+    return [F.pmod(a + b * k, F.lit(bits).cast("long")) for k in range(hashes)]
+
+
+def bloom(keys: DataFrame, rate: float = 0.01, n: int = 0, most: int = 1 << 26) -> DataFrame:
+    """A Bloom filter of column key as one row (bits, hashes, words array<bigint>), of at most `most` bits; n: how many keys, if known."""
+    bits, hashes = bloom_size(max(1, n or keys.count()), rate)
+    if bits > most:
+        raise ValueError(f"a filter of {bits} bits is more than {most}; take a higher rate, or one filter for each range of keys")
+    at = keys.select(F.explode(F.array(*bloom_places("key", bits, hashes))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("v"))
+    every = keys.sparkSession.range(-(-bits // 64)).select(F.col("id").alias("w"))
+    one = every.join(words, "w", "left").agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("x"))
+    return one.select(F.lit(bits).alias("bits"), F.lit(hashes).alias("hashes"), F.col("x.v").alias("words"))
+
+
+def may_contain(probes: DataFrame, filter_: DataFrame) -> DataFrame:
+    """probes with maybe: whether the filter may hold the column key; where it is false, no key does. The filter's one row is broadcast."""
+    bits, hashes = filter_.select("bits", "hashes").first()
+    hit = F.lit(True)
+    for at in bloom_places("key", bits, hashes):
+        word = F.element_at("words", (F.shiftright(at, 6) + 1).cast("int"))
+        hit &= F.expr("1L") == F.call_function("shiftright", word, F.pmod(at, F.lit(64)).cast("int")).bitwiseAND(F.lit(1))
+    return probes.join(F.broadcast(filter_.select("words"))).withColumn("maybe", hit).drop("words")

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.config import Config
 from tidewell.functions import keys as K
 from tidewell.operators import learned, merge, spatial, stats, timeline
 from tidewell.plans.dialect import parse, plan
-from tidewell.sources import backup
+from tidewell.sources import backup, files
 from tidewell.sources.ingest import rising
+from tidewell.sources.shared import shared_path
+from tidewell.sources.store import KVStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -58,9 +61,13 @@ _dialect("sql_limit_zero", "SELECT * FROM orders LIMIT 0", "WHERE false")
 TABLES = ("users", "Products", "orders", "my_table_1", "lineitem")
 
 
-@query(
-    "SELECT * FROM (VALUES " + ", ".join(f"('{t}', CAST({K.table_range(t)[0]} AS BIGINT), CAST({K.table_range(t)[1]} AS BIGINT))" for t in TABLES) + ") v(name, first_key, last_key)"
-)
+@query(f"""
+WITH t AS (SELECT * FROM (VALUES {", ".join(f"('{t}')" for t in TABLES)}) v(name)),
+h AS (SELECT name, list_reduce(list_concat([{K.FNV_OFFSET}::HUGEINT], list_transform(string_split(lower(name), ''), lambda c: ascii(c)::HUGEINT)), lambda a, b: xor(a, b) * {K.FNV_PRIME}::HUGEINT % 18446744073709551616::HUGEINT) AS h FROM t),
+p AS (SELECT name, (h // 65536) % 140737488355328::HUGEINT * 1000000 % 18446744073709551616::HUGEINT AS p FROM h),
+b AS (SELECT name, CASE WHEN p >= 9223372036854775808::HUGEINT THEN 18446744073709551616::HUGEINT - p ELSE p END AS b FROM p)
+SELECT name, b::BIGINT AS first_key, (b + 999999)::BIGINT AS last_key FROM b
+""")
 def table_key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, *K.table_range(t)) for t in TABLES], "name string, first_key bigint, last_key bigint")
 
@@ -109,11 +116,24 @@ def range_scan_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(merge.range_scan(_versioned(spark, sf_dir), 999, 200))
 
 
-@query("SELECT count(*) AS hits FROM orders WHERE o_orderkey IN (SELECT c_custkey * 7 FROM customer)")
+BLOOM = f"list_transform(range(hashes), lambda k: ((x + 1) * {stats.BLOOM_BY[0]} % {stats.BLOOM_MOD} + (x + 1) * {stats.BLOOM_BY[1]} % {stats.BLOOM_MOD} * k) % bits)"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey AS key, xor(o_orderkey, o_orderkey >> 32) % {stats.BLOOM_MOD} AS x FROM orders),
+c AS (SELECT c_custkey * 37 AS key, xor(c_custkey * 37, (c_custkey * 37) >> 32) % {stats.BLOOM_MOD} AS x FROM customer),
+m AS (SELECT CAST(ceil(count(*) * ln(0.05) / ln(pow(2, -ln(2)))) AS BIGINT) AS bits, CAST(ceil(bits / count(*) * ln(2)) AS BIGINT) AS hashes FROM orders),
+f AS (SELECT DISTINCT unnest({BLOOM}) AS place FROM o, m),
+p AS (SELECT key, unnest({BLOOM}) AS place FROM c, m)
+SELECT key, bool_and(f.place IS NOT NULL) AS maybe, key IN (SELECT o_orderkey FROM orders) AS found FROM p LEFT JOIN f ON f.place = p.place GROUP BY key
+""")
 def bloom_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Existence of keys by a semi-join; Spark itself puts a Bloom filter before large ones."""
-    wanted = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7).alias("key")).distinct()
-    return order_records(spark, sf_dir).join(wanted, "key", "left_semi").agg(F.count("*").alias("hits"))
+    """Existence of keys: a Bloom filter says which are surely absent, a semi-join looks for the others only."""
+    keys = order_records(spark, sf_dir).select("key")
+    probes = table(spark, sf_dir, "customer").select((F.col("c_custkey") * 37).alias("key"))
+    asked = stats.may_contain(probes, stats.bloom(keys, rate=0.05))
+    there = asked.where("maybe").join(keys, "key", "left_semi").select("key", F.lit(True).alias("found"))
+    return asked.join(there, "key", "left").select("key", "maybe", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 # Merging
@@ -238,8 +258,10 @@ IN_BOX = "x BETWEEN 100 AND 700 AND y BETWEEN 50 AND 900 AND z BETWEEN 1 AND 9"
 
 @query(f"SELECT DISTINCT {CODE} AS key, x, y, z FROM (SELECT {XYZ} FROM orders) WHERE {IN_BOX}")
 def box_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = order_points(spark, sf_dir).select(K.encode3d_col("x", "y", "z").alias("key")).distinct()
-    return spatial.scan_box(records, BOX)
+    path = shared_path(spark, "points")
+    order_points(spark, sf_dir).select(K.encode3d_col("x", "y", "z").alias("key")).distinct().write.parquet(path)
+    # stored keys: the ranges reach the scan, and are compared with a column instead of the whole encoding
+    return spatial.scan_box(spark.read.schema("key bigint").parquet(path), BOX)
 
 
 @query(f"SELECT count(*) AS points FROM (SELECT {XYZ} FROM orders) WHERE x BETWEEN 3 AND 66 AND y BETWEEN 5 AND 68 AND z BETWEEN 0 AND 63")
@@ -342,16 +364,19 @@ def message_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query(f"SELECT {MS} AS ts, event_type AS sender, CAST(user_id AS VARCHAR) AS receiver FROM events WHERE user_id = 7 AND {MS} > {CURSOR}")
+BOB = K.owner_of("bob")
+
+
+@query(f"SELECT {TKEY} - (7::BIGINT << 42) + ({BOB}::BIGINT << 42) AS key, {MS} AS ts, event_type AS sender, 'bob' AS receiver, props AS body FROM events WHERE user_id = 7 AND {MS} > {CURSOR} UNION ALL SELECT {MS}, {MS}, event_type, 'PUBLIC', props FROM events WHERE user_id = 8")
 def mailbox_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages written as JSON and read back from one mailbox, after a cursor; damaged ones are left out."""
-    e = table(spark, sf_dir, "events").withColumn("ms", K.epoch_ms("ts"))
-    text = timeline.encode_message(F.col("event_type"), F.col("user_id").cast("string"), F.col("props"), F.col("ms"))
-    r = e.select(K.timeline_key_col("user_id", "ms").alias("key"), text.cast("binary").alias("value"))
+    """Messages as JSON, read back from a user's mailbox after a cursor and from the public one; damaged ones are left out."""
+    e = table(spark, sf_dir, "events").where("user_id IN (7, 8, 9)").withColumn("ms", K.epoch_ms("ts"))
+    to = F.when(F.col("user_id") == 7, "bob").when(F.col("user_id") == 8, "PUBLIC").otherwise("eve")
+    text = timeline.encode_message(F.col("event_type"), to, F.col("props"), F.col("ms"))
+    r = e.select(K.timeline_key_col(K.owner_of_col(to), "ms").alias("key"), text.cast("binary").alias("value"))
     broken = r.where("key % 3 = 0").select((F.col("key") + 1).alias("key"), F.lit(b"{not json").alias("value"))
-    box = timeline.mailbox(r.unionByName(broken), 7, CURSOR)
-    m = box.select(F.from_json(F.col("value").cast("string"), timeline.MESSAGE).alias("m")).where("m.ts IS NOT NULL")
-    return m.select("m.ts", "m.sender", "m.receiver")
+    r = r.unionByName(broken)
+    return timeline.sync(r, "bob", "bob", cursor=CURSOR).unionByName(timeline.sync(r, "bob")).select("key", "ts", "sender", "receiver", "body")
 
 
 # Learned positions
@@ -419,9 +444,10 @@ def rmi_per_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned.error_bounds(sharded_orders(spark, sf_dir), "shard")
 
 
-@query(f"{SHARD_MODEL} SELECT key, pos AS real_pos, pred AS predicted_pos, error FROM e ORDER BY shard, pos LIMIT 5000")
+@query(f"{SHARD_MODEL} SELECT key, pos AS real_pos, pred AS predicted_pos, error FROM e WHERE size <= 300 OR pos % (size // 300) = 0 ORDER BY shard, pos LIMIT 5000")
 def model_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learned.diagnostics(sharded_orders(spark, sf_dir), "shard", each=200_000)
+    """As in reports, but of a few hundred keys in a shard, so that small tables are sampled as well."""
+    return learned.diagnostics(sharded_orders(spark, sf_dir), "shard", each=300)
 
 
 @query(f"{MODEL} SELECT key AS k, error AS e FROM e WHERE size <= 2000 OR pos % (size // 2000) = 0")
@@ -429,10 +455,9 @@ def heatmap_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learned.heatmap(found_orders(spark, sf_dir))
 
 
-@query(f"{SHARD_MODEL} SELECT concat_ws(',', key, pos, pred, error) AS line FROM e WHERE shard = 0 UNION ALL SELECT 'Key,RealPos,PredictedPos,Error'")
+@query(f"{SHARD_MODEL} SELECT concat_ws(',', key, pos, pred, error) AS line FROM e UNION ALL SELECT 'Key,RealPos,PredictedPos,Error'")
 def model_csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sharded_orders(spark, sf_dir).where("shard = 0")
-    lines = d.select(F.to_csv(F.struct("key", "pos", "pred", "error")).alias("line"))
+    lines = sharded_orders(spark, sf_dir).select(F.to_csv(F.struct("key", "pos", "pred", "error")).alias("line"))
     return lines.unionByName(spark.range(1).select(F.lit("Key,RealPos,PredictedPos,Error").alias("line")))
 
 
@@ -465,9 +490,14 @@ def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text(backup.decoded(lines.select(F.from_json("line", backup.LINE).alias("r")).select("r.*")))
 
 
-@query("SELECT count(*) AS record_count, CAST(sum(length(o_orderstatus)) AS BIGINT) AS value_bytes FROM orders")
+@query("""
+SELECT count(*) AS record_count, string_agg(o_orderkey || '=' || base64(encode(o_orderstatus)), ',' ORDER BY o_orderkey) AS records, true AS dated FROM orders
+""")
 def backup_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backup.encoded(order_records(spark, sf_dir)).agg(F.count("*").alias("record_count"), F.sum(F.length(F.unbase64("Value"))).alias("value_bytes"))
+    """The whole document of a backup, its records as one text."""
+    doc = backup.backup_document(order_records(spark, sf_dir))
+    records = F.array_join(F.transform("records", lambda r: F.concat_ws("=", r["Key"].cast("string"), r["Value"])), ",")
+    return doc.select("record_count", records.alias("records"), F.col("generated_at").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d").alias("dated"))
 
 
 @query(f"SELECT count(DISTINCT key) AS records, CAST(sum(8 + strlen(value)) AS BIGINT) AS bytes FROM ({EVENTS})")
@@ -514,8 +544,222 @@ def synthetic_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("key", F.concat(F.lit("data-"), F.col("key").cast("string")).alias("value"))
 
 
-@query("SELECT key, crc FROM (SELECT o_orderkey AS key, 0 AS crc FROM orders) WHERE false")
+#: CRC-32 of 8 bytes of a key, 4 of a length of 1 and one character, a bit at a time.
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(range(8), lambda k: (key >> (8 * k)) & 255), [1, 0, 0, 0], [ascii(value)::BIGINT]),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+
+
+@query(f"SELECT key, {CRC} AS crc FROM ({KV})")
+def log_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The checksum that each record has in a log."""
+    return order_records(spark, sf_dir).select("key", K.crc_of_col("key", "value").alias("crc"))
+
+
+@query(f"SELECT key, {CRC} AS crc FROM ({KV}) WHERE key % 97 = 5")
 def log_checksum_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log entries whose stored checksum is not that of their key and value: none here."""
+    """Log entries whose stored checksum is not that of their key and value: one in 97 was damaged after it was written."""
     log = order_records(spark, sf_dir).withColumn("crc", K.crc_of_col("key", "value"))
-    return log.where(F.col("crc") != K.crc_of_col("key", "value")).select("key", F.col("crc").cast("int").alias("crc"))
+    damaged = F.when(F.col("key") % 97 == 5, F.concat(F.col("value"), F.lit(b"x"))).otherwise(F.col("value"))
+    return log.withColumn("value", damaged).where(F.col("crc") != K.crc_of_col("key", "value")).select("key", "crc")
+
+
+# Stores and their files
+
+
+def _store(spark: SparkSession, auto: bool = False, **config) -> KVStore:
+    """A new store in the shared folder."""
+    return KVStore(spark, shared_path(spark, "kv"), Config(**config), auto_compact=auto)
+
+
+def _commits(spark: SparkSession, sf_dir: str, **config) -> KVStore:
+    """A store with the events in two commits."""
+    store, e = _store(spark, **config), event_records(spark, sf_dir)
+    for part in ("event_id < 500", "event_id >= 500"):
+        store.put_many(e.where(part), *EVENT_ORDER)
+    return store
+
+
+USERS = K.table_range("users")[0]
+
+
+@query(f"SELECT o_orderkey + {USERS} AS id, o_orderstatus AS data FROM orders WHERE o_orderkey BETWEEN 700 AND 706")
+def store_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dialect over a store: the table's name is a range of keys; what lies outside is not seen."""
+    store, o = _store(spark), order_records(spark, sf_dir)
+    store.put_many(o.unionByName(o.withColumn("key", F.col("key") + USERS)))
+    return store.sql(f"SELECT * FROM Users WHERE id >= {USERS + 700} LIMIT 7")
+
+
+BY_COMMIT = LATEST.format(order="event_id >= 500 DESC, ts DESC, event_id DESC", rows=EVENTS)
+
+
+@query(f"SELECT key, value FROM ({BY_COMMIT}) WHERE key BETWEEN 10 AND 99")
+def store_pending_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is not yet merged, in a range of keys, tombstones included."""
+    return _text(_commits(spark, sf_dir).pending(10, 99))
+
+
+@query(f"SELECT key, value FROM ({BY_COMMIT}) WHERE length(value) > 0")
+def store_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live records of a store with several commits, merged by itself."""
+    return _text(_commits(spark, sf_dir, compaction=2).view())
+
+
+@query("SELECT 2 AS level, count(*) AS records, 2 * count(*) AS merged FROM orders")
+def compaction_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine commits where three of a level are merged: a record is written again once for each of two levels."""
+    store, o = _store(spark, auto=True, compaction=3), order_records(spark, sf_dir)
+    for k in range(9):
+        store.put_many(o.where(F.col("key") % 9 == k))
+    m = store.manifest()
+    return spark.createDataFrame([(f["level"], f["rows"], m["merged"]) for f in m["folders"]], "level int, records bigint, merged bigint")
+
+
+@query(f"SELECT count(*) FILTER (WHERE length(value) > 0) AS live, 0 AS pending, 1 AS models, true AS readable FROM ({BY_COMMIT})")
+def store_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after a checkpoint, opened again: all merged, a model kept, nothing lost."""
+    store = _commits(spark, sf_dir)
+    store.checkpoint()
+    again = KVStore(spark, store.path)
+    known, live = again.view().orderBy("key").first(), again.view()
+    return live.agg(F.count("*").alias("live"), F.lit(again.log().count()).cast("int").alias("pending"), F.lit(again.stats()["learned_indexes_count"]).alias("models"), F.lit(again.get(known["key"]) == bytes(known["value"])).alias("readable"))
+
+
+@query("SELECT 0 AS records, 0 AS folders, 3 AS commit, 1 AS after FROM range(1)")
+def store_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store after a reset, and after one more put."""
+    store = _commits(spark, sf_dir)
+    store.reset()
+    empty, folders = store.view().count(), len(store.manifest()["folders"])
+    commit = store.put(5, "five")
+    return spark.createDataFrame([(empty, folders, commit, store.view().count())], "records int, folders int, commit int, after int")
+
+
+#: Statistics of a store after two commits, three lookups, one of which misses, and a scan.
+COUNTERS = ("pending_record_count", "learned_indexes_count", "base_file_count", "read_count", "write_count", "hit_count", "shards_active", "pending_writes", "rw_ratio")
+
+
+@query(f"""
+WITH w AS (SELECT (SELECT count(DISTINCT user_id) FROM events WHERE event_id < 500) + (SELECT count(DISTINCT user_id) FROM events WHERE event_id >= 500) AS w),
+h AS (SELECT count(*) FILTER (WHERE key IN (1, 2) AND length(value) > 0) AS h FROM ({BY_COMMIT}))
+SELECT name, value FROM (
+  SELECT 'pending_record_count' AS name, w::DOUBLE AS value FROM w UNION ALL SELECT 'learned_indexes_count', 0 UNION ALL SELECT 'base_file_count', 0 UNION ALL SELECT 'read_count', 4
+  UNION ALL SELECT 'write_count', w FROM w UNION ALL SELECT 'hit_count', h FROM h UNION ALL SELECT 'shards_active', 16 UNION ALL SELECT 'pending_writes', 0 UNION ALL SELECT 'rw_ratio', 4 / w FROM w
+  UNION ALL SELECT 'files_add_up', 1 UNION ALL SELECT 'log_has_bytes', 1 UNION ALL SELECT 'mode_is_named', 1)
+""")
+def store_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = _commits(spark, sf_dir)
+    store.get(1), store.get(2), store.get(-1), store.scan(0, 5)
+    s = store.stats()
+    rows = [(n, float(s[n])) for n in COUNTERS]
+    rows += [("files_add_up", float(s["file_count"] == s["delta_file_count"] + s["base_file_count"] > 0)), ("log_has_bytes", float(s["log_size_bytes"] > 0)), ("mode_is_named", float(bool(s["mode"])))]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+@query("""
+SELECT CASE k WHEN 0 THEN '# HELP tidewell_' || n || ' ' || h WHEN 1 THEN '# TYPE tidewell_' || n || ' ' || t ELSE 'tidewell_' || n || ' ' || v END AS line
+FROM (VALUES ('reads_total', 'counter', 'Read operations.', '3'), ('writes_total', 'counter', 'Write operations.', '12'), ('hits_total', 'counter', 'Reads that found a record.', '2'),
+  ('pending_records', 'gauge', 'Records in deltas not yet merged.', '7'), ('learned_indexes', 'gauge', 'Learned models kept.', '0'), ('files', 'gauge', 'Data files.', '4'), ('delta_files', 'gauge', 'Files of deltas.', '3'),
+  ('base_files', 'gauge', 'Files of the base.', '1'), ('pending_writes', 'gauge', 'Writes accepted but not committed.', '0'), ('log_bytes', 'gauge', 'Bytes of deltas.', '99'), ('rw_ratio', 'gauge', 'Reads for each write.', '0.250000')) v(n, t, h, v), range(3) r(k)
+""")
+def metrics_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics in the text form that monitoring servers read, a row for each line."""
+    shown = {"read_count": 3, "write_count": 12, "hit_count": 2, "pending_record_count": 7, "file_count": 4, "delta_file_count": 3, "base_file_count": 1, "log_size_bytes": 99, "rw_ratio": stats.ratio(3, 12)}
+    return spark.createDataFrame([(x,) for x in stats.metrics_text(shown).splitlines()], "line string")
+
+
+@query(f"{KV} WHERE o_orderkey IN (SELECT c_custkey * 7 + 3 FROM customer)")
+def learned_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of many keys, each looked for in the window of places that the store's model gives."""
+    store = _store(spark)
+    store.put_many(order_records(spark, sf_dir))
+    return _text(store.get_learned(table(spark, sf_dir, "customer").select((F.col("c_custkey") * 7 + 3).alias("key"))))
+
+
+@query(f"{MODEL} SELECT bucket, n, sx, sy, sxy, sxx FROM s")
+def model_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model that a store keeps for its version, as read back by another."""
+    store = _store(spark, shards=1)
+    store.put_many(order_records(spark, sf_dir))
+    store.model(fanout=FAN)
+    return KVStore(spark, store.path, Config(shards=1)).model().select("bucket", "n", "sx", "sy", "sxy", "sxx")
+
+
+@query(f"""
+WITH a AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders),
+c AS (SELECT min(key) AS lo, max(key) AS hi, count(*) AS size FROM a WHERE key % 4 <> 1 AND key < 900),
+o AS (SELECT key, row_number() OVER (ORDER BY key) - 1 AS pos, 0 AS new FROM a WHERE key % 4 <> 1 AND key < 900
+  UNION ALL SELECT key, size + row_number() OVER (ORDER BY key) - 1, 1 FROM a, c WHERE key >= 900),
+b AS (SELECT key, pos, new, least(greatest(CAST(trunc((key - lo)::DOUBLE / (hi - lo)::DOUBLE * {FAN}) AS BIGINT), 0), {FAN - 1}) AS bucket FROM o, c),
+s AS (SELECT all_, bucket, count(*)::DOUBLE AS n, sum(key::DOUBLE) AS sx, sum(pos::DOUBLE) AS sy, sum(key::DOUBLE * pos::DOUBLE) AS sxy, sum(key::DOUBLE * key::DOUBLE) AS sxx FROM b, (VALUES (0), (1)) v(all_) WHERE new <= all_ GROUP BY ALL),
+l AS (SELECT *, CASE WHEN n * sxx - sx * sx = 0 THEN 0.0::DOUBLE ELSE (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope FROM s),
+m AS (SELECT *, CASE WHEN n * sxx - sx * sx = 0 THEN 0.0::DOUBLE ELSE (sy - slope * sx) / n END AS intercept FROM l),
+e AS (SELECT pos - CAST(trunc(slope * key::DOUBLE + intercept) AS BIGINT) AS error FROM b JOIN m USING (bucket) WHERE new = all_)
+SELECT least(min(error), 0) AS min_error, greatest(max(error), 0) AS max_error FROM e
+""")
+def rmi_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Error bounds of a model after learning keys beyond those it was trained with."""
+    keys = order_records(spark, sf_dir).select("key")
+    old = learned.positions(keys.where("key % 4 <> 1 AND key < 900"))
+    model = learned.train(old, fanout=FAN)
+    bounds = learned.error_bounds(learned.predict(old, model, fanout=FAN))
+    # one row
+    was = old.agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("size"))
+    new = learned.positions(keys.where("key >= 900")).drop("lo", "hi", "size").join(F.broadcast(was)).withColumn("pos", F.col("pos") + F.col("size"))
+    return learned.append(model, bounds, new, fanout=FAN)[1]
+
+
+@query("SELECT true AS known, true AS about_as_many, true AS repeats")
+def random_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys drawn with replacement for a benchmark: all are in the table, as many as asked for, some twice."""
+    f = placed_orders(spark, sf_dir)
+    n = f.count()
+    picks = learned.random_keys(f, n)
+    return picks.join(f.select("key", F.col("pos").alias("there")), "key", "left").agg(
+        F.every(F.col("pos") == F.col("there")).alias("known"), F.abs(F.count("*") - n).__lt__(max(60, n // 10)).alias("about_as_many"), (F.countDistinct("key") < F.count("*")).alias("repeats")
+    )
+
+
+def _exchange_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with two sorted tables and two logs, one of them damaged, of the nations and regions (30 rows at most are collected)."""
+    path = shared_path(spark, "files")
+    n = [(r[0], r[1].encode()) for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").limit(25).collect()]
+    g = [(r[0], r[1].encode()) for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey").limit(5).collect()]
+    files.write_file(spark, f"{path}/shard-2-l1-100.sst", files.sorted_table([(k, b"old " + v) for k, v in n]))
+    files.write_file(spark, f"{path}/shard-2-l0-200.sst", files.sorted_table([(k, v) for k, v in n if k % 3 == 0] + [(1, b"")]))
+    log = [files.log_entry(k, b"log " + v, stamp=1000 + k) for k, v in n]
+    log[17] = log[17][:-1] + b"?"
+    files.write_file(spark, f"{path}/a.wal", b"".join(log[10:]))
+    files.write_file(spark, f"{path}/b.wal", b"".join(files.log_entry(100 + k, v, stamp=5) for k, v in g) + b"cut")
+    return path
+
+
+TABLES_SQL = """SELECT n_nationkey::BIGINT AS key, 'old ' || n_name AS value, 2 AS shard, 1 AS level, 100::BIGINT AS stamp, n_nationkey::BIGINT AS place FROM nation
+UNION ALL SELECT key, value, 2, 0, 200, row_number() OVER (ORDER BY key) - 1 FROM (SELECT n_nationkey::BIGINT AS key, n_name AS value FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 1, '')"""
+LOGS_SQL = """SELECT n_nationkey::BIGINT AS key, 'log ' || n_name AS value, 'a.wal' AS name, 1000 + n_nationkey::BIGINT AS stamp, n_nationkey::BIGINT - 10 AS seq FROM nation WHERE n_nationkey BETWEEN 10 AND 16
+UNION ALL SELECT 100 + r_regionkey::BIGINT, r_name, 'b.wal', 5, r_regionkey::BIGINT FROM region"""
+
+
+@query(TABLES_SQL)
+def table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records of a folder of sorted tables."""
+    t = files.read_tables(spark, _exchange_files(spark, sf_dir))
+    return t.withColumn("value", F.col("value").cast("string"))
+
+
+@query(LOGS_SQL)
+def log_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of a folder of logs, each up to its first damaged one."""
+    t = files.read_log(spark, _exchange_files(spark, sf_dir))
+    return t.withColumn("value", F.col("value").cast("string"))
+
+
+@query(f"""
+SELECT key, value FROM (SELECT key, value, row_number() OVER (PARTITION BY key ORDER BY rank DESC) AS k FROM (
+  SELECT key, value, 1 - level AS rank FROM ({TABLES_SQL}) UNION ALL SELECT key, value, 2 FROM ({LOGS_SQL}))) WHERE k = 1 AND length(value) > 0
+""")
+def import_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store made from a folder of sorted tables and logs: logs win over tables of level 0, these over level 1."""
+    store = _store(spark)
+    store.import_files(_exchange_files(spark, sf_dir))
+    return _text(store.view())

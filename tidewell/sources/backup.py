@@ -15,7 +15,7 @@ def encoded(view: DataFrame) -> DataFrame:
 
 
 def decoded(lines: DataFrame) -> DataFrame:
-    return lines.where("Key IS NOT NULL").select(F.col("Key").alias("key"), F.coalesce(F.unbase64("Value"), F.lit(b"")).alias("value"))
+    return lines.where("Key IS NOT NULL").select(F.col("Key").alias("key"), F.coalesce(F.to_binary("Value", F.lit("base64")), F.lit(b"")).alias("value"))
 
 
 def write_backup(view: DataFrame, path: str) -> None:
@@ -23,11 +23,11 @@ def write_backup(view: DataFrame, path: str) -> None:
 
 
 def read_backup(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a folder made by write_backup(), or of a file with one document."""
+    """Records of a folder made by write_backup(), or of a file with one document; damaged text is an error."""
     if path.endswith(".json"):
-        doc = spark.read.schema(DOCUMENT).json(path, multiLine=True)
+        doc = spark.read.schema(DOCUMENT).json(path, multiLine=True, mode="FAILFAST")
         return decoded(doc.select(F.explode("records").alias("r")).select("r.*"))
-    return decoded(spark.read.schema(LINE).json(f"{path}/records"))
+    return decoded(spark.read.schema(LINE).json(f"{path}/records", mode="FAILFAST"))
 
 
 def backup_document(view: DataFrame) -> DataFrame:

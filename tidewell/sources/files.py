@@ -5,6 +5,9 @@ Files come through Spark's binaryFile source, so any file system works and each
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +52,11 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    """key, value, seq of a .wal file up to its first damaged entry: (crc u32, stamp u64, key u64, size u32, value), little-endian; the CRC covers key, size and value."""
+    """key, value, name, stamp, seq of .wal files, each up to its first damaged entry.
+
+    An entry is (crc u32, stamp u64, key u64, size u32, value), little-endian; the CRC covers key, size and value.
+    seq counts the entries of a file, stamp is the entry's own time.
+    """
 
     def parse(batches):
         import struct
@@ -58,16 +65,42 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for data in b.column(0).to_pylist():
-                at, keys, values = 0, [], []
+            for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at, keys, values, stamps = 0, [], [], []
                 while at + 24 <= len(data):
-                    crc, _, key, size = struct.unpack_from("<IQqI", data, at)
+                    crc, stamp, key, size = struct.unpack_from("<IqqI", data, at)
                     if at + 24 + size > len(data) or zlib.crc32(data[at + 12:at + 24 + size]) != crc:
                         break
                     keys.append(key)
                     values.append(data[at + 24:at + 24 + size])
+                    stamps.append(stamp)
                     at += 24 + size
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(values, pa.binary()), pa.array(range(len(keys)), pa.int64())], names=["key", "value", "seq"])
+                cols = [pa.array(keys, pa.int64()), pa.array(values, pa.binary()), pa.array([name.rsplit("/", 1)[-1]] * len(keys), pa.string()), pa.array(stamps, pa.int64()), pa.array(range(len(keys)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "value", "name", "stamp", "seq"])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.wal").load(path).select("path", "content")
+    return raw.mapInArrow(parse, "key bigint, value binary, name string, stamp bigint, seq bigint")
+
+
+def log_entry(key: int, value: bytes, stamp: int = 0) -> bytes:
+    """One entry of a .wal file."""
+    rest = struct.pack("<qI", key, len(value)) + value
+    return struct.pack("<Iq", zlib.crc32(rest), stamp) + rest
+
+
+def sorted_table(records: list[tuple[int, bytes]]) -> bytes:
+    """A .sst file of records, for exchange; its index has every hundredth key and the place of its record."""
+    body, index = b"", []
+    for k, (key, value) in enumerate(sorted(records, key=lambda r: r[0])):
+        if k % 100 == 0:
+            index.append((key, len(body)))
+        body += struct.pack("<qi", key, len(value)) + value
+    return body + struct.pack("<i", len(index)) + b"".join(struct.pack("<qq", *x) for x in index) + struct.pack("<qQ", len(body), SST_MAGIC)
+
 
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    return raw.mapInArrow(parse, "key bigint, value binary, seq bigint")
+def write_file(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file on any file system that Spark knows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(data))
+    out.close()

@@ -5,6 +5,11 @@ lists the folders in force; a manifest is a new file that is created or fails, s
 two writers cannot both make the same one. A folder without a manifest is never read. Manifests keep the
 key range of each folder, so scans and lookups skip folders as Parquet statistics skip row groups.
 
+Folders have levels: a put adds one of level 0, and as soon as a level has as many as config.compaction they
+are merged into one of the next level, so a record is written again once for each level, of which there are
+as many as the logarithm of the puts. Newer folders never have a higher level, so merging a whole level keeps
+their order; tombstones go when nothing older is left.
+
 One writer at a time is assumed. Puts are durable when they return. An empty value deletes.
 """
 
@@ -14,7 +19,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.config import Config
@@ -22,6 +27,7 @@ from tidewell.functions.keys import INT64_MAX, INT64_MIN, encode3d, shard_col, t
 from tidewell.operators import learned, merge, spatial, stats
 from tidewell.plans.dialect import parse, plan
 from tidewell.sources.backup import backup_document, read_backup, write_backup
+from tidewell.sources.files import read_log, read_tables
 
 SCHEMA = "key BIGINT, value BINARY, seq BIGINT"
 ROWS_A_FILE = 4_000_000
@@ -48,7 +54,7 @@ class KVStore:
 
     def manifest(self) -> dict:
         if not (all_ := self._versions()):
-            return {"version": 0, "commit": 0, "folders": [], "epochs": {}}
+            return {"version": 0, "commit": 0, "folders": [], "epochs": {}, "merged": 0}
         text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(self._at(f"{self.path}/manifest/{all_[-1]:012d}.json")), "UTF-8")
         return json.loads(text)
 
@@ -111,7 +117,7 @@ class KVStore:
     # writing
 
     def put_many(self, rows: DataFrame, *order: str | Column, epoch: tuple[str, int] | None = None) -> int:
-        """Commits rows (key, value); of rows with one key the last by `order` counts. Returns the commit's number.
+        """Commits rows (key, value); of rows with one key the last by `order` counts, or as they come. Returns the commit's number.
 
         epoch: (source, number) of a stream's batch; one that is not newer than the last of its source is left out.
         """
@@ -120,23 +126,24 @@ class KVStore:
             return m["commit"]
         commit = m["commit"] + 1
         rows = rows.select(F.col("key").cast("long"), F.coalesce(F.col("value").cast("binary"), F.lit(b"")).alias("value"), *[c for c in rows.columns if c not in ("key", "value")])
-        one = merge.latest(rows, *order) if order else rows.dropDuplicates(["key"])
+        one = merge.latest(rows, *order) if order else merge.latest(rows.withColumn("_at", F.monotonically_increasing_id()), "_at")
         folder = self._write(one.select("key", "value", F.lit(commit).cast("long").alias("seq")), f"delta/{commit:012d}-{time.time_ns()}")
         m["folders"].append(folder | {"level": 0})
         if epoch:
             m["epochs"][epoch[0]] = epoch[1]
         self._publish(m | {"version": m["version"] + 1, "commit": commit})
         self.writes += folder["rows"]
-        if self.auto and sum(f["level"] == 0 for f in m["folders"]) >= self.config.compaction:
-            self.compact()
+        if self.auto:
+            self.tidy()
         return commit
 
     def _write(self, rows: DataFrame, name: str, files: int = 0) -> dict:
         if files:
             rows = rows.repartitionByRange(files, "key")
+        seen = Observation()
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.min("key").alias("lo"), F.max("key").alias("hi"))
         rows.sortWithinPartitions("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{name}")
-        done = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}").agg(F.count("*"), F.min("key"), F.max("key")).first()
-        return {"name": name, "rows": done[0], "lo": done[1], "hi": done[2]}
+        return {"name": name, "rows": seen.get["rows"], "lo": seen.get["lo"], "hi": seen.get["hi"]}
 
     def put(self, key: int, value: bytes | str) -> int:
         value = value.encode() if isinstance(value, str) else value
@@ -156,13 +163,35 @@ class KVStore:
 
     # maintenance
 
-    def compact(self, drop_tombstones: bool = True) -> None:
-        """Replaces all folders by one base with a version of each key; nothing older is left, so tombstones may go."""
+    def tidy(self) -> int:
+        """Merges every level that is full into one folder of the next; how many merges that took."""
+        done, level = 0, 0
+        while True:
+            folders = self.manifest()["folders"]
+            if sum(f["level"] == level for f in folders) >= self.config.compaction:
+                self._merge([f for f in folders if f["level"] == level], level + 1)
+                done += 1
+            elif all(f["level"] <= level for f in folders):
+                return done
+            level += 1
+
+    def _merge(self, chosen: list[dict], level: int, drop_tombstones: bool = True) -> None:
+        """Replaces folders, which are neighbours in time, by one. Tombstones may go if no older folder is left."""
         m = self.manifest()
-        rows = sum(f["rows"] for f in m["folders"])
-        merged = merge.compact(self._read([f for f in m["folders"] if f["rows"]]), drop_tombstones=drop_tombstones).select("key", "value", "seq")
-        base = self._write(merged, f"base/{m['version'] + 1:012d}-{time.time_ns()}", max(1, -(-rows // ROWS_A_FILE)))
-        self._publish(m | {"version": m["version"] + 1, "folders": [base | {"level": 1}]})
+        names = {f["name"] for f in chosen}
+        oldest = m["folders"] and m["folders"][0]["name"] in names
+        found = [f for f in chosen if f["rows"]]
+        rows = sum(f["rows"] for f in found)
+        merged = merge.compact(self._read(found), drop_tombstones=drop_tombstones and bool(oldest)).select("key", "value", "seq")
+        new = self._write(merged, f"base/{m['version'] + 1:012d}-{time.time_ns()}", max(1, -(-rows // ROWS_A_FILE))) | {"level": level}
+        at = next((k for k, f in enumerate(m["folders"]) if f["name"] in names), 0)
+        rest = [f for f in m["folders"] if f["name"] not in names]
+        self._publish(m | {"version": m["version"] + 1, "folders": rest[:at] + [new] + rest[at:], "merged": m.get("merged", 0) + new["rows"]})
+
+    def compact(self, drop_tombstones: bool = True) -> None:
+        """Replaces all folders by one with a version of each key; nothing older is left, so tombstones may go."""
+        folders = self.manifest()["folders"]
+        self._merge(folders, max([1, *(f["level"] for f in folders)]), drop_tombstones)
 
     def checkpoint(self) -> None:
         """Merges what was written so far and trains the model for it."""
@@ -185,13 +214,18 @@ class KVStore:
 
     def reset(self) -> None:
         m = self.manifest()
-        self._publish({"version": m["version"] + 1, "commit": m["commit"], "folders": [], "epochs": {}})
+        self._publish({"version": m["version"] + 1, "commit": m["commit"], "folders": [], "epochs": {}, "merged": 0})
         self.reads = self.writes = self.hits = 0
         self.vacuum()
 
-    def log(self) -> DataFrame:
-        """Versions not yet in the base, in commit order."""
-        return self._read([f for f in self.manifest()["folders"] if f["level"] == 0 and f["rows"]]).orderBy("seq", "key")
+    def log(self, first: int = INT64_MIN, last: int = INT64_MAX) -> DataFrame:
+        """Versions of a range of keys that are not yet merged, in commit order."""
+        found = [f for f in self.manifest()["folders"] if f["level"] == 0 and f["rows"] and f["lo"] <= last and first <= f["hi"]]
+        return self._read(found).where(F.col("key").between(first, last)).orderBy("seq", "key")
+
+    def pending(self, first: int = INT64_MIN, last: int = INT64_MAX) -> DataFrame:
+        """key, value of what is not yet merged, the latest of each key, in key order; a tombstone is an empty value."""
+        return merge.latest(self.log(first, last)).select("key", "value").orderBy("key")
 
     def backup(self, path: str) -> None:
         write_backup(self.view(), path)
@@ -200,10 +234,20 @@ class KVStore:
         return backup_document(self.view())
 
     def restore(self, path: str) -> None:
-        """Replaces everything by the records of a backup."""
-        rows = read_backup(self.spark, path)
-        self.reset()
-        self.put_many(rows)
+        """Replaces everything by the records of a backup, which is read and written before anything old goes."""
+        m, commit = self.manifest(), self.manifest()["commit"] + 1
+        rows = merge.latest(read_backup(self.spark, path).withColumn("_at", F.monotonically_increasing_id()), "_at")
+        folder = self._write(rows.select("key", "value", F.lit(commit).cast("long").alias("seq")), f"delta/{commit:012d}-{time.time_ns()}")
+        self._publish({"version": m["version"] + 1, "commit": commit, "folders": [folder | {"level": 0}], "epochs": {}, "merged": 0})
+        self.reads = self.hits = 0
+        self.writes = folder["rows"]
+        self.vacuum()
+
+    def import_files(self, path: str) -> int:
+        """Commits the records of a folder of sorted tables and logs: tables of level 1, then of level 0, by the time in their names, then logs by theirs."""
+        tables = read_tables(self.spark, path).select("key", "value", (1 - F.col("level")).alias("rank"), F.coalesce("stamp", F.lit(0)).alias("stamp"), "place")
+        logs = read_log(self.spark, path).select("key", "value", F.lit(2).alias("rank"), F.coalesce("stamp", F.lit(0)).alias("stamp"), F.col("seq").alias("place"))
+        return self.put_many(tables.unionByName(logs), "rank", "stamp", "place")
 
     def ingest(self, n: int = 100_000, seed: int = 1) -> int:
         from tidewell.sources.ingest import synthetic
@@ -220,9 +264,16 @@ class KVStore:
         return self.spark.read.parquet(path)
 
     def _placed(self) -> DataFrame:
-        keys = self.view().select("key", shard_col("key", self.config.shards).alias("shard"))
+        keys = self.view().select("key", "value", shard_col("key", self.config.shards).alias("shard"))
         return learned.positions(keys, "shard")
 
+    def get_learned(self, keys: DataFrame) -> DataFrame:
+        """key, value of live records of keys, each looked for in the window of places that the model gives."""
+        found = self._found()
+        wanted = keys.select(F.col("key").cast("long").alias("key")).distinct()
+        at = learned.window_lookup(found.join(wanted, "key"), learned.error_bounds(found, "shard"), "shard")
+        return at.where(F.col("pos").between(F.col("first"), F.col("last"))).select("key", "value")
+
     def _found(self) -> DataFrame:
         return learned.predict(self._placed(), self.model(), "shard")
 
@@ -251,7 +302,7 @@ class KVStore:
         counts = [files(f) for f in m["folders"]]
         return {
             "pending_record_count": sum(f["rows"] for f in delta), "learned_indexes_count": int(self._fs.exists(self._at(f"{self.path}/model/{m['version']}/_SUCCESS"))),
-            "delta_file_count": sum(n for n, f in zip(counts, m["folders"]) if f["level"] == 0), "base_file_count": sum(n for n, f in zip(counts, m["folders"]) if f["level"] == 1),
+            "delta_file_count": sum(n for n, f in zip(counts, m["folders"]) if f["level"] == 0), "base_file_count": sum(n for n, f in zip(counts, m["folders"]) if f["level"] > 0),
             "file_count": sum(counts), "read_count": self.reads, "write_count": self.writes, "hit_count": self.hits,
             "shards_active": self.config.shards, "pending_writes": 0, "log_size_bytes": sum(map(size, delta)),
             "rw_ratio": stats.ratio(self.reads, self.writes), "mode": "base and deltas with learned positions",
