@@ -2,36 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for tables between stages: spark.checkpoint.dir, which all machines share.
-
-    Only where the session names none and runs on one machine (tests) is a temporary folder made.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        base = base or "file://" + tempfile.mkdtemp(prefix="tidewell-")
-        _OWN[app] = f"{base.rstrip('/')}/tidewell-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _OWN[app])
-    return _OWN[app]
-
+from tidewell.sources.shared import drop, shared_path
 
 _SHIPPED: set[str] = set()
 
@@ -50,39 +30,16 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-#: Where the session sets no limit of its own: bytes of rows handed to Python at once, as texts may be very long.
-BATCH_BYTES = 32 << 20
-
-
 def with_code(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """query, its code shipped first and its batches bounded."""
+    """query, its code shipped first."""
 
     def run(spark: SparkSession, *args):
         ship_code(spark)
-        if not spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None):
-            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return query(spark, *args)
 
     return run
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        drop(spark, path)
-    except Exception:  # the JVM is gone; the folder belongs to the ended application
-        pass
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and lost executors cost nothing."""
     spark = df.sparkSession
@@ -93,6 +50,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """written(df), and its rows, counted as they are written."""
+    seen = Observation()
+    return written(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by written()."""
     drop(df.sparkSession, df._tidewell_path)

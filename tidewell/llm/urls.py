@@ -35,7 +35,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import forget, written
+from tidewell.llm.common import counted, forget, written
 
 
 @dataclass(frozen=True)
@@ -142,21 +142,22 @@ def build(universe: DataFrame, block_bits: int = BLOCK_BITS) -> Iterator[Cascade
     blocks = max(1, math.ceil(planned_bits(inside, all_ - inside) * 1.25 / block_bits))
     for block in range(blocks):
         mine = keys.where(F.pmod(F.shiftrightunsigned("h1", 33), F.lit(blocks)) == block) if blocks > 1 else keys
-        yield Cascade(block, blocks, _levels(mine))
+        if blocks > 1:
+            inside, all_ = mine.agg(F.count_if("listed"), F.count("*")).first()
+        yield Cascade(block, blocks, _levels(mine, inside, all_ - inside))
     forget(keys)
 
 
-def _levels(keys: DataFrame) -> list[Level]:
-    inside, outside = keys.where("listed"), keys.where(~F.col("listed"))
+def _levels(keys: DataFrame, listed: int, unlisted: int) -> list[Level]:
+    inside, outside, n = keys.where("listed"), keys.where(~F.col("listed")), listed
     levels: list[Level] = []
-    hashes = first_hashes(inside.count(), outside.count())
-    while n := inside.count():
+    while n:
         if len(levels) > 90:
             raise RuntimeError("two keys, one listed and one not, have the same 128 bits of hashes")
-        level = _level(inside, len(levels), n, hashes if not levels else LATER)
+        level = _level(inside, len(levels), n, LATER if levels else first_hashes(listed, unlisted))
         levels.append(level)
         shared = keys.sparkSession.sparkContext.broadcast(level)
-        wrong = written(outside.where(_member(shared)), "false")
+        wrong, n = counted(outside.where(_member(shared)), "false")
         shared.destroy()
         if len(levels) > 2:  # the two before came from keys
             forget(outside)
