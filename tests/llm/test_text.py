@@ -95,11 +95,20 @@ def test_base_spans_equal_plain_regexes(spark):
 
 
 def test_checksums_and_context(spark):
-    texts = {1: "IBAN DE89 3704 0044 0532 0130 00 here", 2: "DE89 3704 0044 0532 0130 01", 3: "my SSN is 078-05-1120", 4: "part 078-05-1120 of it", 5: "", 6: "mail me: a@b.de"}
+    key = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = {
+        1: "IBAN DE89 3704 0044 0532 0130 00 here", 2: "DE89 3704 0044 0532 0130 01", 3: "my SSN is 078-05-1120", 4: "part 078-05-1120 of it", 5: "", 6: "mail me: a@b.de",
+        7: "serial DE89370400440532013000", 8: "DE89370400440532013000", 9: "ssn 1078-05-1120, ssn 078-05-11201, social 078-05-1120-1", 10: f'token = "{key}"', 11: f"the commit {key} and no more",
+        12: f"a hash of the token: {key}", 13: "token aaaaaaaaaaaaaaaaaaaaaaaaaaaaaa1", 14: "secret thisisonlyaverylongwordoflowercase", 15: "sample mail a@b.de", 16: f"x {key}", 17: "token abc1", 18: f"password:{'é' * 60}{key}",
+    }
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("spans", F.lit("x")).withColumn("_t", F.lit(1))
-    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start:s.end], round(s.score, 2)) for s in r.spans] for r in pii.find_pii(df.select("doc_id", "text", "spans")).collect()}
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start:s.end], round(s.score, 2)) for s in r.spans] for r in pii.find_pii(df).collect()}
     assert got[1] == [("iban", "DE89 3704 0044 0532 0130 00", 1.0)] and got[2] == [] and got[5] == []
     assert got[3] == [("ssn", "078-05-1120", 0.8)] and got[4] == [] and got[6] == [("email", "a@b.de", 1.0)]
+    # words lower what would pass alone, and raise what would not
+    assert got[7] == [] and got[8] == [("iban", "DE89370400440532013000", 0.7)] and got[9] == []
+    assert got[10] == [("secret", key, 0.8)] and [got[k] for k in (11, 12, 13, 14, 16, 17, 18)] == [[]] * 7
+    assert got[15] == [("email", "a@b.de", 0.6)]  # a base kind stays
     assert pii.find_pii(df.limit(0)).count() == 0
     assert pii.find_pii(df.where("doc_id = 6").union(df.where("doc_id = 6"))).count() == 2
 

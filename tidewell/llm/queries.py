@@ -12,16 +12,15 @@ from tidewell.llm.decontaminate import op5_decontaminate
 from tidewell.llm.linededup import op4_line_dedup
 from tidewell.llm.neardup import op7_near_dedup
 from tidewell.llm.pieces import op10_sentencepiece
-from tidewell.llm.pii import op2_pii
 from tidewell.llm.quality import op3_quality
-from tidewell.llm import substrings, urls
+from tidewell.llm import pii, substrings, urls
 from tidewell.llm.vectordedup import op9_embedding_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     native = {
         "op1_chat_format": op1_chat_format,
-        "op2_pii": op2_pii,
+        "op2_pii": pii.op2_pii,
     }
     free = {
         "op3_quality": op3_quality,
@@ -37,7 +36,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT_SQL, "op6_substring_dedup": substrings.ORACLE_SQL, "op7_near_dedup": NEAR_SQL, "op8_url_filter": urls.ORACLE_SQL, "op9_embedding_dedup": VECTOR_SQL}
+    return {"op1_chat_format": CHAT_SQL, "op2_pii": pii.ORACLE_SQL, "op6_substring_dedup": substrings.ORACLE_SQL, "op7_near_dedup": NEAR_SQL, "op8_url_filter": urls.ORACLE_SQL, "op9_embedding_dedup": VECTOR_SQL}
 
 
 NEAR_SQL = r"""
