@@ -20,37 +20,46 @@ so a text of one line never loses it; blank lines are compared as they are, and
 a repeated run may stay; rows of one doc_id with different texts are told apart by a
 hash of the text, rows repeated whole get the same result; a null doc_id ranks last and all rows of
 that id with the same text count as one; ties cannot occur beyond that; other columns stay as they
-are, whatever their names; an empty table gives no rows.
+are, whatever their names, but for one named _removed, which is replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import pairwise
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import written
+from tidewell.llm.common import forget, identity, written
 
 WINDOW, MEAN, LEAST = 2, 4, 2
+#: What the rolling hash multiplies by.
+STEP = 1099511628211
 MASK = (1 << 64) - 1
-LAST = (1 << 63) - 1
+BLANK = " \t\v\f\r"
+
+
+def line_hash(line: str) -> int:
+    return int.from_bytes(hashlib.md5(line.encode("utf-8", "replace"), usedforsecurity=False).digest()[8:], "little")
 
 
 def chunks(text: str) -> list[tuple[int, int]]:
     """(first line, line after the last) of each chunk of the lines of text; together they are all lines."""
     lines = text.split("\n")
-    hashes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in lines]
+    hashes = [line_hash(x) for x in lines]
     out, begin = [], 0
     for i in range(len(lines)):
+        if i + 1 - begin < LEAST:
+            continue
         rolled = 0
-        for h in hashes[max(begin, i + 1 - WINDOW):i + 1]:
-            rolled = (rolled * 0x9E3779B97F4A7C15 + h) & MASK
-        if i + 1 - begin >= LEAST and (rolled >> 40) % MEAN == 0:
+        for h in hashes[i + 1 - WINDOW:i + 1]:
+            rolled = (rolled * STEP + h) & MASK
+        if (rolled >> 40) % MEAN == 0:
             out.append((begin, i + 1))
             begin = i + 1
     if begin < len(lines):
@@ -65,7 +74,7 @@ def spans(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
     """What stands at each place, and its (first line, line after the last): chunks with at least two lines that are not blank, then
     pairs of such lines. A pair has one place in a text, that of an equal chunk if there is one, and all its lines there."""
     lines = text.split("\n")
-    full = [k for k, x in enumerate(lines) if x.strip()]
+    full = [k for k, x in enumerate(lines) if x.strip(BLANK)]
     if len(full) < LEAST:
         return []
     out: list[tuple[str, list[tuple[int, int]]]] = []
@@ -93,13 +102,10 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keyed(docs: DataFrame) -> tuple[Column, Column]:
-    return F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)), F.xxhash64(docs["text"])
-
-
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with every column, text without repeated chunks, and _removed array<int>, the places of chunks and pairs taken out."""
-    rank, key = _keyed(docs)
+    docs = docs.drop("_removed")
+    rank, key = identity(docs)
     slim = docs.select(rank.alias("i"), key.alias("k"), F.col("text").cast("string").alias("text"))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +125,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     place = F.struct("i", "k", "at")
     # written, so that the join deals both sides anew and a digest with many rows can be split
     again = written(table.groupBy("d1", "d2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("d1", "d2"), "again")
-    suspects = table.join(again, ["d1", "d2"], "left_semi").groupBy("i", "k").agg(F.collect_set("at").alias("at"))
+    suspects = written(table.join(again, ["d1", "d2"], "left_semi").groupBy("i", "k").agg(F.collect_set("at").alias("at")), "suspects")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,11 +144,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     firsts = written(parts.groupBy("chunk").agg(F.min(F.struct("i", "k", "at")).alias("first")), "firsts")
     gone = (
         parts.join(firsts, "chunk").where(F.struct("i", "k", "at") != F.col("first"))
-        .groupBy("i", "k").agg(F.collect_set("at").alias("_removed"))
+        .groupBy("i", "k").agg(F.array_sort(F.collect_set("at")).alias("_removed"))
     )
-    keyed = docs.withColumns({"__i": rank, "__k": key})
-    joined = keyed.join(gone, (keyed["__i"] == gone["i"]) & (keyed["__k"] == gone["k"]), "left")
-    out = joined.select(*[keyed[c] for c in docs.columns], F.coalesce("_removed", F.array().cast("array<int>")).alias("_removed"))
+    gone = written(gone, "gone")
+    for t in (table, again, parts, firsts):
+        forget(t)
+    keyed = docs.select(F.struct("*").alias("row"), rank.alias("i"), key.alias("k"))
+    out = keyed.join(gone, ["i", "k"], "left").select("row.*", F.coalesce("_removed", F.array().cast("array<int>")).alias("_removed"))
     at_text = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,6 +178,34 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its repeated chunks: what was taken out, and the text that is left."""
     out = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select(
-        "doc_id", F.size("_removed").cast("long").alias("n_removed"), F.sort_array("_removed").alias("removed"),
+        "doc_id", F.size("_removed").cast("long").alias("n_removed"), F.array_join(F.col("_removed").cast("array<string>"), ",").alias("removed"),
         F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.col("text").alias("kept_text"),
     )
+
+
+#: flags: for each line 1 if a chunk may end with it. Pieces of them are chunks; pairs equal to a chunk of the text have its place.
+ORACLE_SQL = rf"""
+WITH l AS (
+  SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda k: trim(lines[k], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '') AS full_, list_transform(lines, lambda x: md5_number_lower(x)::HUGEINT) AS h
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+), f AS (
+  SELECT *, regexp_extract_all(array_to_string(list_transform(range(1, len(lines) + 1), lambda k: CASE WHEN k > 1 AND (h[k - 1] * {STEP}::HUGEINT + h[k]) % 18446744073709551616::HUGEINT // 1099511627776 % {MEAN} = 0 THEN '1' ELSE '0' END), ''), '[01][01]*?1|[01]+') AS r FROM l
+), g AS (
+  SELECT *, list_transform(CASE WHEN len(r) > 1 AND length(r[-1]) = 1 THEN list_concat(r[:-3], [r[-2] || r[-1]]) ELSE r END, lambda x: length(x)) AS sizes FROM f WHERE len(full_) >= 2
+), cs AS (
+  SELECT doc_id, q, array_to_string(lines[b - sizes[q] + 1:b], chr(10)) AS chunk, b - sizes[q] + 1 AS a, b FROM (SELECT *, list_sum(sizes[:q])::BIGINT AS b FROM (SELECT *, unnest(range(1, len(sizes) + 1)) AS q FROM g))
+  WHERE len(list_filter(full_, lambda k: k BETWEEN b - sizes[q] + 1 AND b)) >= 2
+), c AS (SELECT doc_id, chunk, a, b, row_number() OVER (PARTITION BY doc_id ORDER BY q) - 1 AS place FROM cs),
+fc AS (SELECT doc_id, chunk, min(place) AS place FROM c GROUP BY ALL),
+p AS (SELECT doc_id, array_to_string(lines[full_[q]:full_[q + 1]], chr(10)) AS chunk, full_[q] AS a, full_[q + 1] AS b FROM (SELECT *, unnest(range(1, len(full_))) AS q FROM g)),
+pn AS (SELECT doc_id, chunk, coalesce(n, 0) + row_number() OVER (PARTITION BY doc_id ORDER BY first_) - 1 AS place FROM (SELECT doc_id, chunk, min(a) AS first_ FROM p ANTI JOIN fc USING (doc_id, chunk) GROUP BY ALL) LEFT JOIN (SELECT doc_id, count(*) AS n FROM c GROUP BY ALL) USING (doc_id)),
+places AS (SELECT doc_id, chunk, place FROM c UNION ALL SELECT doc_id, chunk, place FROM pn),
+covers AS (SELECT doc_id, place, a, b FROM c UNION ALL SELECT p.doc_id, place, a, b FROM p JOIN (SELECT * FROM fc UNION ALL SELECT * FROM pn) USING (doc_id, chunk)),
+firsts AS (SELECT chunk, min((doc_id, place)) AS first_ FROM places GROUP BY chunk),
+gone AS (SELECT doc_id, place FROM places JOIN firsts USING (chunk) WHERE (doc_id, place) <> first_),
+cut AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1)) AS k FROM gone JOIN covers USING (doc_id, place)),
+kept AS (SELECT doc_id, array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda k: NOT list_contains(ks, k)), lambda k: lines[k]), chr(10)) AS kept FROM l JOIN (SELECT doc_id, list(k) AS ks FROM cut GROUP BY doc_id) USING (doc_id)),
+r AS (SELECT doc_id, count(*) AS n, string_agg(place::VARCHAR, ',' ORDER BY place) AS removed FROM gone GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_removed, coalesce(removed, '') AS removed, length(coalesce(kept, text, ''))::BIGINT AS kept_chars, coalesce(kept, text) AS kept_text
+FROM documents LEFT JOIN r USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

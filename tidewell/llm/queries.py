@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm.chat import op1_chat_format
 from tidewell.llm.common import with_code
 from tidewell.llm.decontaminate import op5_decontaminate
-from tidewell.llm.linededup import op4_line_dedup
 from tidewell.llm.neardup import op7_near_dedup
 from tidewell.llm.pieces import op10_sentencepiece
 from tidewell.llm.quality import op3_quality
-from tidewell.llm import pii, substrings, urls
+from tidewell.llm import linededup, pii, substrings, urls
 from tidewell.llm.vectordedup import op9_embedding_dedup
 
 
@@ -24,7 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
     free = {
         "op3_quality": op3_quality,
-        "op4_line_dedup": op4_line_dedup,
+        "op4_line_dedup": linededup.op4_line_dedup,
         "op5_decontaminate": op5_decontaminate,
         "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_near_dedup": op7_near_dedup,
@@ -36,7 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": CHAT_SQL, "op2_pii": pii.ORACLE_SQL, "op6_substring_dedup": substrings.ORACLE_SQL, "op7_near_dedup": NEAR_SQL, "op8_url_filter": urls.ORACLE_SQL, "op9_embedding_dedup": VECTOR_SQL}
+    return {
+        "op1_chat_format": CHAT_SQL, "op2_pii": pii.ORACLE_SQL, "op4_line_dedup": linededup.ORACLE_SQL, "op6_substring_dedup": substrings.ORACLE_SQL,
+        "op7_near_dedup": NEAR_SQL, "op8_url_filter": urls.ORACLE_SQL, "op9_embedding_dedup": VECTOR_SQL,
+    }
 
 
 NEAR_SQL = r"""
