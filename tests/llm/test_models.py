@@ -63,9 +63,40 @@ def test_unigram_viterbi():
     assert ours.encode(["aqb"]).to_pylist()[0].count(0) == 1
 
 
+def best_split(score, word, worst):
+    """The best sum over all ways to cut a word, tried one by one."""
+    best = (-1e300, ())
+    for mask in range(1 << max(0, len(word) - 1)):
+        cuts = [0, *(k + 1 for k in range(len(word) - 1) if mask >> k & 1), len(word)]
+        parts = [word[a:b] for a, b in zip(cuts, cuts[1:])]
+        if all(p in score or len(p) == 1 for p in parts):
+            best = max(best, (sum(score.get(p, worst) for p in parts), tuple(parts)))
+    return best
+
+
+def test_best_paths_of_the_public_model_equal_brute_force(ours):
+    by_score = pieces.Pieces(open(pieces.DEFAULT_MODEL, "rb").read(), by_score=True)
+    rng = random.Random(17)
+    texts = ["".join(rng.choice(["th", "e", "an", "ing", "q", "tion", "x", "é", "中", "aa", "1"]) for _ in range(rng.randint(1, 5)))[:10] for _ in range(150)]
+    worst = min(ours.given.values()) - 10
+    ids, best = by_score.scored(texts)
+    _, beside = ours.scored(texts)
+    for t, i, b, also in zip(texts, ids.to_pylist(), best, beside):
+        want = best_split(by_score.given, "▁" + t, worst)
+        assert b == want[0]
+        if all(p in by_score.ids for p in want[1]):
+            assert sum(by_score.given[by_score.name[k]] for k in i) == b and by_score.decode(i) == t
+        assert also == b
+    two = ours.scored([f"{texts[0]} {texts[1]}"])[1][0]
+    assert two == beside[0] + beside[1]
+
+
 def test_encode_edge_cases(spark):
     df = spark.createDataFrame([(None, "x"), (1, None), (1, None), (2, "")], "doc_id long, text string").withColumn("ids", F.lit(3))
-    assert sorted((r.doc_id or 0, len(r.ids)) for r in pieces.encode(df).collect()) == [(0, 1), (1, 0), (1, 0), (2, 0)]
+    assert sorted((r.doc_id or 0, len(r.ids), r.best < 0) for r in pieces.encode(df).collect()) == [(0, 1, True), (1, 0, False), (1, 0, False), (2, 0, False)]
+    texts = spark.createDataFrame([(1, "The best path of all.")], "doc_id long, text string")
+    plain, best = (pieces.encode(texts, by_score=x, check=True).first() for x in (False, True))
+    assert plain.same and best.same and plain.best == best.best
     assert pieces.encode(df.limit(0)).count() == 0
     bad = spark.createDataFrame([(1, [99999999, 5, None]), (2, None), (3, [])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.text for r in pieces.decode(bad).collect()} == {1: "�\x02�", 2: "", 3: ""}

@@ -5,10 +5,12 @@ has a mark after another character (checked when the model is read), so words ar
 distinct words of a batch are sorted, which is a depth-first walk of their trie: forward states of
 the prefix that a word shares with the one before are used again.
 
-For a unigram model the forward state of a prefix is its best score and last piece (Viterbi). The
-merges of a BPE model have an order that no sum of scores expresses, so there the state is the one
-last piece that fits: a piece fits behind another if merging their joined text gives the two back.
-Where a prefix has no such piece the word is merged step by step instead.
+The forward state of a prefix is its best score and last piece (Viterbi), which gives the ids of a unigram
+model, and with by_score those of the best sum of any model's scores. The merges of a BPE model have an
+order that no sum of scores expresses, so the ids that the model's own library gives come from a second part
+of the state: the one last piece that fits, as a piece fits behind another if merging their joined text gives
+the two back. Where a prefix has no such piece the word is merged step by step instead. Both parts are carried
+along, so a text has the score of the best path beside its ids.
 
 Edge cases: null and empty texts give no ids; an unknown character gives its UTF-8 byte pieces (or
 the unknown id where the model has none); very long words cost linear work; decoding turns U+2581
@@ -52,7 +54,7 @@ class _Rows(dict):
 class Pieces:
     """The vocabulary of a model file, and the ids of marked words seen so far (at most `most` of them)."""
 
-    def __init__(self, model: bytes, most: int = 400_000):
+    def __init__(self, model: bytes, most: int = 400_000, by_score: bool = False):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = pb.ModelProto()
@@ -61,11 +63,12 @@ class Pieces:
             raise ValueError("only unigram and BPE models are supported")
         if m.normalizer_spec.name != "identity" or m.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models without normalisation are supported")
-        self.bpe, self.most = m.trainer_spec.model_type == BPE, most
+        self.bpe, self.most = m.trainer_spec.model_type == BPE and not by_score, most
         self.dummy = m.normalizer_spec.add_dummy_prefix
         self.ids = {p.piece: i for i, p in enumerate(m.pieces) if p.type in (NORMAL, USER, UNUSED)}
         self.score = {p.piece: p.score for p in m.pieces if p.type in (NORMAL, USER, UNUSED)}
-        if self.bpe:  # only their order counts
+        self.given = dict(self.score)
+        if self.bpe:  # only their order counts for merging
             self.score = {p: -float(k) for k, p in enumerate(sorted(self.score, key=self.score.__getitem__, reverse=True))}
         self.byte = {int(p.piece[1:-1], 16): i for i, p in enumerate(m.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == UNKNOWN)
@@ -99,7 +102,7 @@ class Pieces:
 
     def clear(self) -> None:
         self.row = _Rows()
-        self.starts, self.sizes, self.flat = array("q"), array("i"), array("i")
+        self.starts, self.sizes, self.flat, self.tops = array("q"), array("i"), array("i"), array("d")
 
     def merged(self, word: str) -> list[str]:
         """Pieces by merging the neighbours with the highest score first, the leftmost of equals."""
@@ -177,6 +180,8 @@ class Pieces:
         row, flat, starts, sizes = self.row, self.flat, self.starts, self.sizes
         starts.extend([0] * (len(row) - len(starts)))
         sizes.extend([0] * (len(row) - len(sizes)))
+        tops = self.tops
+        tops.extend([0.0] * (len(row) - len(tops)))
         ids, fits, short, long = self.ids, self.fits, self.short, self.long
         if len(fits) > 1_000_000:
             fits.clear()
@@ -184,7 +189,10 @@ class Pieces:
             short.clear()
         # for each prefix: its last piece's id (-1: a character in no piece, -2: none fits) and length, its best score
         before, last, size, best = "", [-1], [0], [0.0]
-        worst = min(self.score.values(), default=0.0) - 10
+        worst = min(self.given.values(), default=0.0) - 10
+        points = [0.0] * len(self.texts) + [worst]  # by id; -1, a character in no piece, is the last
+        for i, p in self.name.items():
+            points[i] = self.given[p]
         for word in sorted(words):
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
@@ -206,6 +214,11 @@ class Pieces:
                     more = [(n, ids[word[i - n:i]]) for n in more if n <= i and word[i - n:i] in ids]
                     if more:
                         cand = (*(c for c in more if self._parts(c[1]) is not False), *cand)
+                top = -1e300
+                for n, piece in cand:
+                    if (v := best[i - n] + points[piece]) > top:
+                        top = v
+                best.append(top)
                 found, length = -2, 1
                 for n, piece in cand:
                     ahead = last[i - n]
@@ -230,6 +243,7 @@ class Pieces:
                 self.plain += 1
                 parts = [ids.get(p, p) for p in reversed(self.merged(word))]
             n = row[word]
+            tops[n] = best[-1]
             starts[n] = begin = len(flat)
             parts.reverse()
             try:
@@ -252,6 +266,10 @@ class Pieces:
         return self.cut.findall(s)
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
+        return self.scored(texts)[0]
+
+    def scored(self, texts: list[str | None]) -> tuple[pa.ListArray, np.ndarray]:
+        """The ids of each text, and the score of its best path: the sum of those of its words."""
         lists = [self.words(t or "") for t in texts]
         if len(self.row) > self.most:
             self.clear()
@@ -263,7 +281,10 @@ class Pieces:
         ends = np.cumsum(size)
         at = np.repeat(starts[rows] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0) if len(rows) else np.zeros(0, dtype=np.int64)
         total = np.concatenate([[0], ends])[np.cumsum([0] + [len(ws) for ws in lists])]
-        return pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(flat[at] if len(at) else np.zeros(0, dtype=np.int32), pa.int32()))
+        sums = np.concatenate([[0.0], np.cumsum(np.frombuffer(self.tops, dtype=np.float64)[rows] if len(rows) else np.zeros(0))])
+        ends = np.cumsum([0] + [len(ws) for ws in lists])
+        ids = pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), pa.array(flat[at] if len(at) else np.zeros(0, dtype=np.int32), pa.int32()))
+        return ids, sums[ends[1:]] - sums[ends[:-1]]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
         n = len(self.texts)
@@ -280,12 +301,12 @@ class Pieces:
 _LOADED: dict[int, Pieces] = {}
 
 
-def _loaded(model: bytes) -> Pieces:
+def _loaded(model: bytes, by_score: bool = False) -> Pieces:
     """The vocabulary, read once in each worker process and kept with its words for the tasks to come."""
-    key = hash(model)
+    key = hash((model, by_score))
     if key not in _LOADED:
         _LOADED.clear()
-        _LOADED[key] = Pieces(model)
+        _LOADED[key] = Pieces(model, by_score=by_score)
     return _LOADED[key]
 
 
@@ -294,18 +315,21 @@ def _model(spark: SparkSession, path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, block: int = 256, check: bool = False) -> DataFrame:
-    """doc_id, ids array<int> of every row; with check also whether decoding the ids gives the text back."""
+def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, block: int = 256, check: bool = False, by_score: bool = False) -> DataFrame:
+    """doc_id, ids array<int>, best double of every row; with check also whether decoding the ids gives the text back.
+
+    best: the score of the best path through the pieces. by_score: the ids of that path, whatever kind of model it is.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_model(docs.sparkSession, model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _loaded(shared.value)
+        m = _loaded(shared.value, by_score)
         for b in batches:
             for a in range(0, b.num_rows, block):
                 part = b.slice(a, block)
                 texts = part.column(1).to_pylist()
-                ids = m.encode(texts)
-                cols, names = [part.column(0), ids], ["doc_id", "ids"]
+                ids, best = m.scored(texts)
+                cols, names = [part.column(0), ids, pa.array(best, pa.float64())], ["doc_id", "ids", "best"]
                 if check:
                     flat, off = ids.values.to_numpy().tolist(), ids.offsets.to_numpy()
                     same = [m.decode(flat[off[i]:off[i + 1]]) == (t or "").replace(MARK, " ") for i, t in enumerate(texts)]
@@ -313,7 +337,7 @@ def encode(docs: DataFrame, model_path: str = DEFAULT_MODEL, block: int = 256, c
                     names.append("same")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    schema = "doc_id long, ids array<int>" + ", same boolean" * check
+    schema = "doc_id long, ids array<int>, best double" + ", same boolean" * check
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
@@ -333,4 +357,4 @@ def decode(coded: DataFrame, model_path: str = DEFAULT_MODEL) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents as ids, and whether it comes back from them."""
     coded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), check=True)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", "same")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.col("best").alias("best_score"), "same")
