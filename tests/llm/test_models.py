@@ -1,5 +1,6 @@
 """Quality classifier and SentencePiece operator; the pipeline."""
 
+import math
 import random
 import zlib
 
@@ -120,6 +121,29 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     assert (a.near == b.near).all() and (a.y == b.y).all()
 
 
+def test_votes_equal_brute_force(spark):
+    rng = random.Random(23)
+    vocabulary = [["ha", "ho", "lorem", "amet", "vita"], ["buy", "win!!!", "$$$", "click", "now"], ["zeta", "eta", "iota", "phi", "chi"]]
+    texts = [" ".join(rng.choice(rng.choices(vocabulary, [5, 1 + k % 3, k % 2])[0]) + str(rng.randrange(4)) for _ in range(rng.randint(5, 90))) for k in range(160)]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "zz first"), (500, ""), (501, None)], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(0, 160, 2)] + [(1, 1), (3, 1), (5, 1), (7, 1), (9, 1), (11, 1)], "doc_id long, quality int")
+    m = quality.fit(docs, labels, sample=60, dims=6, k=5)
+    assert len(m.y) == 60
+    # the statistics, counted one by one
+    x = [quality.term_counts(t or "", {}) for t in [*texts, "zz first", "", None]]
+    df = [sum(v[j] > 0 for v in x) for j in range(quality.TERMS)]
+    assert all(abs(m.idf[j] - (math.log((1 + len(x)) / (1 + df[j])) + 1)) < 1e-5 for j in range(0, quality.TERMS, 7))
+    got = {r.doc_id: r.score for r in quality.score(docs.where("coalesce(text, '') <> 'zz first'"), m).collect()}
+    near = [[float(a) for a in v] for v in m.near]
+    for k in range(0, 160, 9):
+        z = [float(a) for a in (x[k] * m.idf - m.mean) @ m.v]
+        norm = math.sqrt(sum(a * a for a in z))
+        sims = sorted(((sum(a * b for a, b in zip(z, v)) / norm, float(y)) for v, y in zip(near, m.y)), reverse=True)[:5]
+        w = [max(s, 1e-6) ** 4 for s, _ in sims]
+        assert abs(got[k] - sum(a * y for a, (_, y) in zip(w, sims)) / sum(w)) < 1e-3
+    assert got[500] == got[501] == m.prior
+
+
 def test_quality_edge_cases(spark):
     docs = spark.createDataFrame([(1, ""), (2, None), (2, None), (None, "a b"), (3, "x" * 100_000), (4, "\x00 \n ")], "doc_id long, text string").withColumns({"score": F.lit(1), "x": F.lit(2)})
     none = spark.createDataFrame([(1, None), (9, 1)], "doc_id long, quality int")

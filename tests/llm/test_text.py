@@ -41,11 +41,11 @@ def test_turn_order(spark, roles, state, accepted):
 
 
 def test_chat_edge_cases(spark):
-    rows = [(None, 1, "user", None), (2, 1, "user", "b"), (2, 1, "user", "a"), (2, None, "system", "n"), (2, 1, "user", "a"), (3, 1, None, "")]
+    rows = [(None, 1, "user", None), (None, 1, "user", None), (2, 1, "user", "b"), (2, 1, "user", "a"), (2, None, "system", "n"), (2, 1, "user", "a"), (3, 1, None, "")]
     df = spark.createDataFrame(rows, TURN).withColumn("formatted", F.lit(1)).withColumn("segments", F.lit(2))
     out = {r.conv_id: r.formatted for r in format_chat(df).collect()}
     assert out == {None: "[INST][/INST]", 2: "[SYS]n[/SYS][INST]a[/INST][INST]a[/INST][INST]b[/INST]", 3: "[ROLE][TEXT][/ROLE]"}
-    assert format_chat(df.limit(0)).count() == 0
+    assert format_chat(df).count() == 4 and format_chat(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         Template(other=("ROLE", "[T]", "[E]"))
 

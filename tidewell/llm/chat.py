@@ -8,8 +8,8 @@ their first character, marks that already have some get one more; taking one awa
 
 Edge cases: a null text is empty; a null role is the empty role; a null turn sorts first; rows of
 the same turn sort by role, then text, and repeated rows all stay; roles unknown to the template are
-written with their name and end the machine in "invalid"; rows with a null id form one conversation;
-an empty table gives no rows; other columns are ignored, whatever their names. One conversation is
+written with their name and end the machine in "invalid"; a row with a null id is a conversation of its
+own; an empty table gives no rows; other columns are ignored, whatever their names. One conversation is
 one string, so it must stay below 2 GB.
 """
 
@@ -79,14 +79,15 @@ def format_chat(conversations: DataFrame, template: Template = Template()) -> Da
     conversations: conv_id, turn, role, text.
     """
     t = template
+    # rows without an id are not one group, which would have no bound
     turns = conversations.select(
-        "conv_id",
+        "conv_id", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("own"),
         F.struct(
             F.col("turn"),
             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
             F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
         ).alias("t"),
-    ).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    ).groupBy("conv_id", "own").agg(F.sort_array(F.collect_list("t")).alias("turns"))
 
     def fsm(acc: Column, x: Column) -> Column:
         after = _step(t, acc["state"], x["role"])

@@ -2,22 +2,23 @@
 
 A document becomes counts of hashed terms: its words, triples of character classes (each
 punctuation mark is a class of its own), and a few terms for repetition. The counts are damped,
-weighted by inverse document frequency and projected on the leading singular vectors of a labelled
-sample. The sample has at most `sample` documents, so its vectors are broadcast; every document
-meets every labelled vector in exact blocked products, and the `k` nearest vote with their cosine
-similarity as weight.
-
-Only the fit is bounded (`sample`, 4000 labelled documents, chosen by a hash of doc_id); scoring
-reads every whole text. Edge cases: null and empty texts, and texts without terms, get the share of
-label 1 in the sample; without any usable label every score is 0.5; a null label is not used; of
-repeated labels or documents of one id the smallest text and label is used for fitting, and every
-row is scored; other columns are ignored; an empty table gives no rows.
+weighted by inverse document frequency, centred, and projected on the leading singular vectors of a
+labelled sample. Document frequencies and means are counted over all documents. The sample has at
+most `sample` documents, so its vectors are broadcast; every document meets every labelled vector in
+exact blocked products, and the `k` nearest vote with their cosine similarity as weight.
+
+Only the labelled sample is bounded (`sample`, 4000 labelled documents, chosen by a hash of doc_id);
+statistics and scores read every whole text. Edge cases: null and empty texts, and texts without terms,
+get the share of label 1 in the sample; without any usable label every score is 0.5; a null label is not
+used; of repeated labels or documents of one id the smallest label and text is used for fitting, and
+every row is scored; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -78,16 +79,47 @@ def term_counts(text: str, cache: dict[bytes, int]) -> np.ndarray:
     return out
 
 
+@dataclass
+class Statistics:
+    """Of all documents: how many there are, in how many each term occurs, and its mean count."""
+
+    n: int
+    df: np.ndarray
+    mean: np.ndarray
+
+
+def statistics(docs: DataFrame) -> Statistics:
+    """A task counts its documents into one vector, so that a few rows for each term are added up; in whole numbers, so that the order does not matter."""
+    unit = 1 << 20
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[bytes, int] = {}
+        n, df, total = 0, np.zeros(TERMS, dtype=np.int64), np.zeros(TERMS, dtype=np.int64)
+        for b in batches:
+            for a in range(0, b.num_rows, 256):
+                for t in b.column(0).slice(a, 256).to_pylist():
+                    x = term_counts(t or "", cache)
+                    n += 1
+                    df += x > 0
+                    total += np.rint(x * unit).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, TERMS), pa.int32()), pa.array([n, *df.tolist()], pa.int64()), pa.array([0, *total.tolist()], pa.int64())], names=["term", "df", "total"])
+
+    got = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "term int, df long, total long").groupBy("term").agg(F.sum("df"), F.sum("total"))
+    rows = {r[0]: (r[1], r[2]) for r in got.collect()}  # a row for each term
+    n = rows.get(-1, (0, 0))[0]
+    of = np.array([rows.get(k, (0, 0)) for k in range(TERMS)], dtype=np.float64)
+    return Statistics(n, of[:, 0], of[:, 1] / unit / max(1, n))
+
+
 class Model:
     """What is broadcast: term weights, projection, labelled unit vectors and labels; a few MB at most."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, dims: int, k: int, power: float):
+    def __init__(self, x: np.ndarray, y: np.ndarray, statistics: Statistics, dims: int, k: int, power: float):
         self.k, self.power, self.y = k, power, y.astype(np.float32)
         self.prior = float(y.mean()) if len(y) else 0.5
-        self.idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 1
-        w = x * self.idf
-        self.mean = w.mean(0) if len(x) else np.zeros(TERMS, dtype=np.float32)
-        w = w - self.mean
+        self.idf = np.log((1 + statistics.n) / (1 + statistics.df)).astype(np.float32) + 1
+        self.mean = (statistics.mean * self.idf).astype(np.float32)
+        w = x * self.idf - self.mean
         rng = np.random.default_rng(7)
         if len(x):
             q = w @ rng.standard_normal((TERMS, min(dims + 16, *w.shape))).astype(np.float32)
@@ -125,21 +157,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, dims: int = 64,
         .groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    # one text for each id, so that at most `sample` rows come back
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("quality").alias("quality"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[bytes, int] = {}
         for b in batches:
-            x = [term_counts(t or "", cache).tobytes() for t in b.column(1).to_pylist()]
+            x = [term_counts(t, cache).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary()), b.column(2)], names=["doc_id", "x", "y"])
 
-    got = rows.mapInArrow(counted, "doc_id long, x binary, y int").toArrow().to_pydict()
-    seen: dict[int, tuple[bytes, int]] = {}
-    for d, x, y in zip(got["doc_id"], got["x"], got["y"]):
-        seen[d] = min(seen.get(d, (x, y)), (x, y))
-    order = sorted(seen)
-    x = np.array([np.frombuffer(seen[d][0], dtype=np.float32) for d in order], dtype=np.float32).reshape(len(order), TERMS)
-    return Model(x, np.array([seen[d][1] for d in order]), dims, k, power)
+    got = rows.mapInArrow(counted, "doc_id long, x binary, y int").toArrow().sort_by("doc_id").to_pydict()
+    x = np.array([np.frombuffer(v, dtype=np.float32) for v in got["x"]], dtype=np.float32).reshape(len(got["x"]), TERMS)
+    return Model(x, np.array(got["y"]), statistics(docs), dims, k, power)
 
 
 def score(docs: DataFrame, model: Model, block: int = 256) -> DataFrame:
