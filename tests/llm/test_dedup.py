@@ -200,7 +200,7 @@ def test_substrings(spark):
     short = sentence(6)
     texts = [f"{sentence(12)} {passage} {sentence(10)}", f"{sentence(7)}\n{sentence(8)} {passage.upper()} {short}", short + " " + sentence(9), f"{passage} {sentence(5)} {passage}", "", None, "no words: ...\n\n"]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumns({"i": F.lit(1), "d1": F.lit(2), "gone": F.lit(3), "_spans": F.lit(4), "row": F.lit(5)})
-    found = substrings.substring_dedup(df)
+    found = substrings.substring_dedup(df, short=3)
     assert found.columns == ["doc_id", "text", "i", "d1", "gone", "row", "_spans"]
     out = {r.doc_id: r for r in found.collect()}
     assert out[0]._spans == [] and out[4].text == "" and out[5].text is None and out[6].text == texts[6]
@@ -208,19 +208,20 @@ def test_substrings(spark):
     assert texts[1][s.start:s.end] == passage.upper() + " " and passage.upper() not in out[1].text
     assert [texts[2][s.start:s.end] for s in out[2]._spans] == [short + " "]
     assert [texts[3][s.start:s.end].strip() for s in out[3]._spans] == [passage, passage]
-    assert substrings.substring_dedup(df.limit(0)).count() == 0
+    assert substrings.substring_dedup(df.limit(0), short=3).count() == 0
     twice = df.where("doc_id = 1").unionByName(df.where("doc_id = 1"))
-    assert all(r._spans == [] for r in substrings.substring_dedup(twice).collect())
+    assert all(r._spans == [] for r in substrings.substring_dedup(twice, short=3).collect())
 
 
 def test_substrings_leave_what_is_not_repeated(spark):
     a, b = "The first sentence that repeats itself.", "And a second one of this kind."
     rows = [(1, f"{a} {b}"), (2, f"{a} Ada won. {b}"), (3, f"{a}\nAda won.\n{b}"), (4, f"{a} Ada won"), (5, "Ada won."), (6, "Ada won.")]
-    got = {r.doc_id: r.text for r in substrings.substring_dedup(spark.createDataFrame(rows, DOCS)).collect()}
+    got = {r.doc_id: r.text for r in substrings.substring_dedup(spark.createDataFrame(rows, DOCS), short=3).collect()}
     assert got == {1: f"{a} {b}", 2: f"Ada won. {b}", 3: "Ada won.\n", 4: "Ada won", 5: "Ada won.", 6: "Ada won."}
 
 
-def test_substrings_equal_brute_force(spark):
+@pytest.mark.parametrize("short", [3, 8])
+def test_substrings_equal_brute_force(spark, short):
     rng = random.Random(21)
     pool = [" ".join(words(rng, rng.choice([2, 3, 5, 40]))) + rng.choice([". ", "! ", "\n", "?\n", " "]) for _ in range(40)]
     texts = ["".join(rng.choice(pool) if rng.random() < 0.5 else " ".join(words(rng, 6)) + rng.choice([". ", "\n"]) for _ in range(rng.randint(0, 9))) for _ in range(60)]
@@ -232,19 +233,19 @@ def test_substrings_equal_brute_force(spark):
     order = sorted(set(rows), key=lambda r: (neardup.LAST if r[0] is None else r[0], hashes[r[1]]))
     firsts, want = {}, {}
     for i, t in order:
-        for a, b, w in substrings.places(t or ""):
+        for a, b, w in substrings.places(t or "", short):
             key = " ".join(w)
             if firsts.setdefault(key, (i, t, a)) != (i, t, a):
                 want.setdefault((i, t), set()).update(range(a, b))
-        for a, b, w in substrings.places(t or ""):  # a place is the earliest by offset, not by the order in which units are listed
+        for a, b, w in substrings.places(t or "", short):  # a place is the earliest by offset, not by the order in which units are listed
             assert firsts[" ".join(w)][:2] != (i, t) or firsts[" ".join(w)][2] <= a
-    out = substrings.substring_dedup(df.withColumn("was", F.col("text"))).collect()
+    out = substrings.substring_dedup(df.withColumn("was", F.col("text")), short=short).collect()
     assert len(out) == len(rows)
     for r in out:
         gone = {c for s in r._spans for c in range(s.start, s.end)}
         assert gone == want.get((r.doc_id, r.was), set())
         assert r.text == (r.was and "".join(c for k, c in enumerate(r.was) if k not in gone))
-    assert sum(r.doc_id is None and bool(r._spans) for r in out) > 3
+    assert sum(r.doc_id is None and bool(r._spans) for r in out) > 1
 
 
 def test_op6_takes_every_repeated_line(spark, tmp_path):
@@ -257,10 +258,10 @@ def test_op6_takes_every_repeated_line(spark, tmp_path):
     for i, t in rows:
         want[i] = []
         for x in t.split("\n"):
-            key = " ".join(substrings.WORD.findall(x.lower()))
-            if key not in seen:
+            key = substrings.WORD.findall(x.lower())
+            if len(key) < substrings.SHORT or tuple(key) not in seen:
                 want[i].append(x)
-            seen.add(key)
+            seen.add(tuple(key))
     got = {r.doc_id: r.kept_text for r in substrings.op6_substring_dedup(spark, str(tmp_path)).collect()}
     for i, t in rows:
         kept = [x for x in got[i].split("\n") if x.strip()]
@@ -271,7 +272,7 @@ def test_op6_takes_every_repeated_line(spark, tmp_path):
 
 def test_units_cover_all_words():
     text = "One two. Three, four!\nfive " + " ".join(f"w{k}" for k in range(200)) + "?! End of it\n\n.  "
-    found = list(substrings.units(text))
+    found = list(substrings.units(text, 3))
     assert [w for _, _, ws in found for w in ws] == substrings.WORD.findall(text.lower())
     assert all(a < b <= c for (a, b, _), (c, _, _) in zip(found, found[1:])) and max(len(w) for _, _, w in found) < 200
     assert [text[a:b] for a, b, _ in found[:2]] == ["One two. Three, four!", found[1] and text[found[1][0]:found[1][1]]]

@@ -1,9 +1,10 @@
 """Substring dedup by hashing units of text.
 
-Texts are cut into lines, and these into sentences of at least SHORT words (a shorter one is one with the
+Texts are cut into lines, and these into sentences of at least `short` words (a shorter one is one with the
 next); a sentence of more than LONG words is cut again, after words whose hash says so, into parts of at
-least PART words. What is left at the end of a line, with fewer than SHORT words, is no unit. A line of at
-least SHORT words is a unit as well. A unit is normalised (lower-case words joined by blanks) and hashed.
+least PART words. What is left at the end of a line, with fewer than `short` words, is no unit. A line of at
+least `short` words is a unit as well. A unit is normalised (lower-case words joined by blanks) and hashed.
+By default units have 8 words at least: shorter ones are the same by chance in texts that share nothing.
 
 Digests are grouped over all documents. The earliest place of a unit, by doc_id and offset, keeps it;
 every other place is removed, and nothing else is: a line goes with its line end, a sentence with the
@@ -13,7 +14,7 @@ are one.
 Digests and offsets travel without texts. A document's list of spans is never longer than itself; the text
 is moved once, to meet its list.
 
-Edge cases: a null text counts as empty and stays null; lines of fewer than SHORT words are never removed;
+Edge cases: a null text counts as empty and stays null; lines of fewer than `short` words are never removed;
 rows of one doc_id with different texts are documents of their own, ordered by a hash of the text, and
 rows repeated whole get the same result; a null doc_id ranks last; very long texts are cut as any other;
 other columns stay as they are, whatever their names, but for one named _spans, which is replaced; an
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import xxhash
@@ -33,17 +35,22 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import forget, fresh, identity, written
 
-LONG, SHORT, PART = 32, 3, 8
+LONG, SHORT, PART = 32, 8, 8
 WORD = re.compile(r"\w+")
-#: SHORT words, then up to marks that end a sentence and stand before a blank, with the blanks; or up to the line's end.
-SENTENCE = re.compile(r"[^\w\n]*\w+(?:[^\w\n]+\w+){2}[^.!?\n]*(?:[.!?]+[^.!?\x09\x0A-\x0D\x20][^.!?\n]*)*(?:[.!?]+[\x09\x0B-\x0D\x20]*)?")
 TOKEN = re.compile(r"\W*\w+")
 
 
-def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
+@cache
+def sentence(short: int) -> re.Pattern:
+    """`short` words, then up to marks that end a sentence and stand before a blank, with the blanks; or up to the line's end."""
+    words = rf"[^\w\n]*\w+(?:[^\w\n]+\w+){{{short - 1}}}"
+    return re.compile(words + r"[^.!?\n]*(?:[.!?]+[^.!?\x09\x0A-\x0D\x20][^.!?\n]*)*(?:[.!?]+[\x09\x0B-\x0D\x20]*)?")
+
+
+def units(text: str, short: int = SHORT) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, words) of the sentences of text and of their parts, in order; a line's begin where the line does."""
     cuts: dict[str, bool] = {}
-    for m in SENTENCE.finditer(text):
+    for m in sentence(short).finditer(text):
         words = WORD.findall(m[0].lower()) if m[0].isascii() else [w.lower() for w in WORD.findall(m[0])]
         if len(words) <= LONG:
             yield m.start(), m.end(), words
@@ -60,8 +67,8 @@ def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
         yield begin, m.end(), part
 
 
-def places(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of all units with at least SHORT words: sentences and parts, and lines with their line ends."""
+def places(text: str, short: int = SHORT) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of all units with at least `short` words: sentences and parts, and lines with their line ends."""
     first, begin, line = -1, 0, []
     end = text.find("\n")
     end = len(text) if end < 0 else end
@@ -72,14 +79,14 @@ def places(text: str) -> Iterator[tuple[int, int, list[str]]]:
             yield begin, min(end + 1, len(text)), line + [w.lower() for w in tail]
 
     last = 0
-    for a, b, words in units(text):
+    for a, b, words in units(text, short):
         if a > end:
             yield from whole()
             begin, first, line = text.rfind("\n", 0, a) + 1, -1, []
             end = text.find("\n", a)
             end = len(text) if end < 0 else end
         first, last, line = a, b, line + words
-        if len(words) >= SHORT:
+        if len(words) >= short:
             yield a, b, words
     yield from whole()
 
@@ -109,7 +116,7 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(keep) + text[at:]
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
+def substring_dedup(docs: DataFrame, short: int = SHORT) -> DataFrame:
     """docs with every column, text without repeated units, and _spans array<struct<start, end>> of what was taken out."""
     docs = docs.drop("_spans")
     i, k = identity(docs)
@@ -121,7 +128,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                 p = batch.slice(at, 256)
                 cols: tuple[list, ...] = ([], [], [], [], [], [])
                 for x, y, t in zip(*(p.column(c).to_pylist() for c in range(3))):
-                    for a, b, words in places(t) if t else ():
+                    for a, b, words in places(t, short) if t else ():
                         for c, v in zip(cols, (*digest(words), x, y, a, b)):
                             c.append(v)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -176,7 +183,7 @@ WITH l AS (
   FROM (SELECT doc_id, text, all_lines, unnest(all_lines) AS line, unnest(range(1, len(all_lines) + 1)) AS n
     FROM (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS all_lines FROM documents))
 ), s AS (
-  SELECT *, regexp_extract_all(line, '[^\p{L}\p{N}_]*[\p{L}\p{N}_]+(?:[^\p{L}\p{N}_]+[\p{L}\p{N}_]+){2}[^.!?]*(?:[.!?]+[^.!?\x09\x0A-\x0D\x20][^.!?]*)*(?:[.!?]+[\x09\x0B-\x0D\x20]*)?') AS ss FROM l
+  SELECT *, regexp_extract_all(line, '[^\p{L}\p{N}_]*[\p{L}\p{N}_]+(?:[^\p{L}\p{N}_]+[\p{L}\p{N}_]+){7}[^.!?]*(?:[.!?]+[^.!?\x09\x0A-\x0D\x20][^.!?]*)*(?:[.!?]+[\x09\x0B-\x0D\x20]*)?') AS ss FROM l
 ), e AS (
   SELECT doc_id, n, m, x, regexp_extract_all(x, '[^\p{L}\p{N}_]*[\p{L}\p{N}_]+') AS tokens
   FROM (SELECT doc_id, n, unnest(ss) AS x, unnest(range(1, len(ss) + 1)) AS m FROM s)
@@ -193,7 +200,7 @@ WITH l AS (
 ), placed AS (
   SELECT *, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY n, m, q) - length(x) AS a, regexp_extract_all(x, '[\p{L}\p{N}_]+') AS ws FROM atoms
 ), us AS (
-  SELECT doc_id, n, a, lower(array_to_string(ws, ' ')) AS u, false AS whole FROM placed WHERE len(ws) >= 3 AND m < 1000000000
+  SELECT doc_id, n, a, lower(array_to_string(ws, ' ')) AS u, false AS whole FROM placed WHERE len(ws) >= 8 AND m < 1000000000
   UNION ALL SELECT doc_id, n, begins, lower(array_to_string(regexp_extract_all(line, '[\p{L}\p{N}_]+'), ' ')), true FROM s WHERE len(ss) > 0
 ), firsts AS (SELECT u, min((doc_id, a)) AS f FROM us GROUP BY u),
 gone AS (SELECT doc_id, n, a, whole FROM us JOIN firsts USING (u) WHERE (doc_id, a) <> f),
