@@ -139,7 +139,8 @@ def line_dedup(docs: DataFrame) -> DataFrame:
                             i.append(x), k.append(y), at.append(n), out.append(c)
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(k, pa.int64()), pa.array(at, pa.int32()), pa.array(out, pa.string())], names=["i", "k", "at", "chunk"])
 
-    parts = slim.join(suspects, ["i", "k"]).select("i", "k", "text", "at").mapInArrow(texts, "i long, k long, at int, chunk string")
+    # lists grow with the input: joined alike at every size, as files of some MB would be broadcast in small runs only
+    parts = slim.join(suspects.hint("merge"), ["i", "k"]).select("i", "k", "text", "at").mapInArrow(texts, "i long, k long, at int, chunk string")
     parts = written(parts, "repeats")
     firsts = written(parts.groupBy("chunk").agg(F.min(F.struct("i", "k", "at")).alias("first")), "firsts")
     gone = (
@@ -150,7 +151,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     for t in (table, again, parts, firsts):
         forget(t)
     keyed = docs.select(F.struct("*").alias("row"), rank.alias("i"), key.alias("k"))
-    out = keyed.join(gone, ["i", "k"], "left").select("row.*", F.coalesce("_removed", F.array().cast("array<int>")).alias("_removed"))
+    out = keyed.join(gone.hint("merge"), ["i", "k"], "left").select("row.*", F.coalesce("_removed", F.array().cast("array<int>")).alias("_removed"))
     at_text = docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,7 +145,8 @@ def substring_dedup(docs: DataFrame, short: int = SHORT) -> DataFrame:
         forget(t)
 
     keyed = docs.select(F.struct("*").alias("row"), i.alias("i"), k.alias("k"))
-    out = keyed.join(gone, ["i", "k"], "left").select("row.*", F.col("gone").alias(fresh(docs, "gone")))
+    # the list grows with the input: joined alike at every size, as a file of some MB would be broadcast in small runs only
+    out = keyed.join(gone.hint("merge"), ["i", "k"], "left").select("row.*", F.col("gone").alias(fresh(docs, "gone")))
     at, names = docs.columns.index("text"), [*docs.columns, "_spans"]
     schema = docs.selectExpr("*", "cast(null as array<struct<start:bigint,end:bigint>>) as _spans").schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
