@@ -5,8 +5,11 @@ give BANDS bucket keys, and are folded into an odd sketch: a bitmap in which eve
 bit, so that the population count of the XOR of two sketches estimates high similarities closely.
 
 1. Equal sets are one class with a number of its own; only classes go on.
-2. In every bucket, members meet the bucket's smallest member (the pivot), not each other. Pairs that
-   the sketches and the set sizes allow are verified on the full sets, and the links united.
+2. In every bucket, members meet the bucket's first document (the pivot), not each other. Pairs that
+   the sketches and the set sizes allow are verified on the full sets, and the links united. While
+   buckets still hold so many members of several components that step 3 would compare more than ROOM
+   times as many pairs as there are bucket members, those outside the bucket's largest component meet
+   another member of it, drawn by a hash in each turn.
 3. In buckets that still hold several components, members outside the bucket's largest component meet
    all members of other components, again through the sketches and the full sets. Pairs inside one
    component are never needed, so no link that would join components is lost.
@@ -35,11 +38,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import LAST, broadcast_if_small, components, forget, identity, written
+from tidewell.llm.common import LAST, broadcast_if_small, components, counted, forget, identity, written
 
 BANDS, ROWS, BITS, SET_BITS = 36, 5, 512, 1024
 SAMPLES = BANDS * ROWS
 LONGS, SET_LONGS = BITS // 64, SET_BITS // 64
+#: Pairs for each member of a bucket that are compared at once, and the turns of pivots that may go before.
+ROOM, MOST_TURNS = 4, 12
 #: Ids (8 bytes each) that may be broadcast once counted.
 FEW_IDS = 500_000
 _RNG = np.random.default_rng(20240229)
@@ -185,24 +190,37 @@ def _components(texts: DataFrame, words: int, least: int, of: int) -> DataFrame:
     slim = mine.select("c", "n", "odd")
     side = lambda s: slim.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"), F.col("odd").alias(f"o{s}"))
 
-    buckets = mine.select("c", F.explode("keys").alias("key"))
+    may = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").where(_may_link(least, of)).select("a", "b")
+
+    buckets = mine.select("c", "i", F.explode("keys").alias("key"))
     # written, here and below, so that the join deals both sides anew and a bucket of many members can be split
-    shared = written(buckets.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).where("p <> q").select("key", "p"), "shared")
-    inside = written(buckets.join(shared, "key").select("key", "c", "p"), "buckets")
-    near = (
-        inside.where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()
-        .join(side("a"), "a").join(side("b"), "b").where(_may_link(least, of)).select("a", "b")
-    )
-    near = written(near, "pivots")
+    first_of = F.min_by("c", "i").alias("p")
+    shared = written(buckets.groupBy("key").agg(first_of, F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", "p"), "shared")
+    inside, members = counted(buckets.join(shared, "key").select("key", "c", "p"), "buckets")
+    near = written(may(inside.where("c <> p").select(F.col("c").alias("a"), F.col("p").alias("b")).distinct()), "pivots")
     links = written(_verified(near, mine, texts, words, least, of).unionByName(_of_one_id(all_rows, mine)), "links")
     ids = mine.select(F.col("c").alias("id"))
     comp = written(components(ids, links), "components")
 
-    # buckets of several components: who is outside the largest meets all of other components
-    with_c = inside.join(comp.withColumnsRenamed({"id": "c", "component": "r"}), "c").select("key", "c", "r")
-    sizes = with_c.groupBy("key", "r").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("m", "r")).alias("x"), F.count("*").alias("k")).where("k > 1").select("key", F.col("x.r").alias("main"))
-    main = written(main, "main")
+    for turn in range(MOST_TURNS):
+        # buckets of several components, and the largest of these
+        with_c = inside.join(comp.withColumnsRenamed({"id": "c", "component": "r"}), "c").select("key", "c", "r")
+        sizes = with_c.groupBy("key", "r").agg(F.count("*").alias("m"))
+        main = sizes.groupBy("key").agg(F.max(F.struct("m", "r")).alias("x"), F.sum("m").alias("n"), F.count("*").alias("k")).where("k > 1")
+        main = written(main.select("key", F.col("x.r").alias("main"), ((F.col("n") - F.col("x.m")) * F.col("n").cast("double")).alias("pairs")), "main")
+        if (main.agg(F.sum("pairs")).first()[0] or 0) <= ROOM * members or turn + 1 == MOST_TURNS:
+            break
+        mixed_in = with_c.join(main, "key")
+        drawn = written(mixed_in.where("r = main").groupBy("key").agg(F.min_by("c", F.xxhash64("c", F.lit(turn))).alias("b")), "drawn")
+        more = may(mixed_in.where("r <> main").select("key", F.col("c").alias("a")).join(drawn, "key").select("a", "b").distinct())
+        more = written(more.join(near, ["a", "b"], "left_anti"), "pivots")
+        found = _verified(more, mine, texts, words, least, of)
+        near, links = written(near.unionByName(more), "pivots"), written(links.unionByName(found), "links")
+        comp = written(components(ids, links), "components")
+        for t in (main, drawn, more, found):
+            forget(t)
+
+    main = main.drop("pairs")
     mixed_in = written(with_c.join(main, "key").join(slim, "c"), "mixed")
     left = mixed_in.where("r <> main").select("key", F.col("c").alias("a"), F.col("r").alias("ra"), F.col("n").alias("na"), F.col("odd").alias("oa"))
     right = mixed_in.select("key", F.col("c").alias("b"), F.col("r").alias("rb"), "main", F.col("n").alias("nb"), F.col("odd").alias("ob"))
@@ -219,7 +237,7 @@ def _components(texts: DataFrame, words: int, least: int, of: int) -> DataFrame:
     first = rooted.groupBy("r").agg(F.min(F.struct("i", "k")).alias("first"))
     # written, so that rows of a hot text can be split in the join
     named = written(rooted.join(first, "r").select("d1", "d2", "first"), "named")
-    for t in (mine, shared, inside, near, links, mixed_in, main, late):
+    for t in (mine, shared, inside, near, links, mixed_in, late):
         forget(t)
     found = all_rows.select("i", "k", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     alone = F.struct("i", "k")
