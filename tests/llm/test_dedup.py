@@ -80,16 +80,6 @@ def test_near_duplicates_equal_brute_force(spark, n):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets(dict(rows)[r.doc_id], n)), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
-def test_near_duplicates_by_turns_of_pivots(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "ROOM", 0)
-    monkeypatch.setattr(neardup, "MOST_TURNS", 3)
-    rng = random.Random(12)
-    rows = list(enumerate(family(rng, 50, 100, 0.05) + family(rng, 30, 60, 0.04) + [" ".join(words(rng, 50)) for _ in range(20)]))
-    want = brute_near(rows, 5)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3)).collect()}
-    assert got == want and len(set(want.values())) > 20
-
-
 def test_near_duplicate_edge_cases(spark):
     t = " ".join(f"w{k}" for k in range(30))
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (5, "other text here now"), (9, "other text here now"), (7, None)], DOCS).withColumns({"i": F.lit(1), "n": F.lit(2), "rep": F.lit(3)})
