@@ -94,6 +94,11 @@ class Pieces:
         self.name = {i: p for p, i in self.ids.items()}
         order = sorted(self.ids, key=self.score.__getitem__, reverse=True)
         self.rank = {self.ids[p]: k for k, p in enumerate(order)}
+        #: the score of a character in no piece, and scores by id; -1, such a character, is the last
+        self.worst = min(self.given.values(), default=0.0) - 10
+        self.points = [0.0] * len(texts) + [self.worst]
+        for i, p in self.name.items():
+            self.points[i] = self.given[p]
         self.fits: dict[int, bool] = {}
         #: id -> ids of the two parts its last merge joined; None for one character, False if merging its text does not give it
         self.halves: dict[int, tuple[int, int] | None | bool] = {}
@@ -189,10 +194,7 @@ class Pieces:
             short.clear()
         # for each prefix: its last piece's id (-1: a character in no piece, -2: none fits) and length, its best score
         before, last, size, best = "", [-1], [0], [0.0]
-        worst = min(self.given.values(), default=0.0) - 10
-        points = [0.0] * len(self.texts) + [worst]  # by id; -1, a character in no piece, is the last
-        for i, p in self.name.items():
-            points[i] = self.given[p]
+        worst, points = self.worst, self.points
         for word in sorted(words):
             same, most = 0, min(len(word), len(before))
             while same < most and word[same] == before[same]:
@@ -208,21 +210,18 @@ class Pieces:
                 end = word[i - NEAR if i > NEAR else 0:i]
                 cand = short.get(end)
                 if cand is None:
-                    cand = tuple((n, ids[end[-n:]]) for n in range(len(end), 1, -1) if end[-n:] in ids and self._parts(ids[end[-n:]]) is not False)
-                    cand = short[end] = (*cand, (1, ids.get(end[-1], -1)))
+                    cand = tuple((n, ids[end[-n:]], points[ids[end[-n:]]]) for n in range(len(end), 1, -1) if end[-n:] in ids and self._parts(ids[end[-n:]]) is not False)
+                    one = ids.get(end[-1], -1)
+                    cand = short[end] = (*cand, (1, one, points[one]))
                 if i > NEAR and (more := long.get(word[i - NEAR - 1:i])):
                     more = [(n, ids[word[i - n:i]]) for n in more if n <= i and word[i - n:i] in ids]
                     if more:
-                        cand = (*(c for c in more if self._parts(c[1]) is not False), *cand)
-                top = -1e300
-                for n, piece in cand:
-                    if (v := best[i - n] + points[piece]) > top:
+                        cand = (*((n, p, points[p]) for n, p in more if self._parts(p) is not False), *cand)
+                top, found, length = -1e300, -2, 1
+                for n, piece, point in cand:
+                    if (v := best[i - n] + point) > top:
                         top = v
-                best.append(top)
-                found, length = -2, 1
-                for n, piece in cand:
-                    ahead = last[i - n]
-                    if ahead == -2:
+                    if found != -2 or (ahead := last[i - n]) == -2:
                         continue
                     if i > n and ahead >= 0 and piece >= 0:
                         key = ahead << 32 | piece
@@ -232,7 +231,7 @@ class Pieces:
                         if not fit:
                             continue
                     found, length = piece, n
-                    break
+                best.append(top)
                 last.append(found)
                 size.append(length)
             before, i, parts = word, len(word), []
