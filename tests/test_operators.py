@@ -125,6 +125,19 @@ def test_sums_add_up(spark):
     assert whole == parts and all(abs(r.slope - 1) < 1e-9 for r in whole)
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_sums_are_added_by_key(spark, parts):
+    keys = [10**10 + 3 * k for k in range(5000)]
+    want = [float(len(keys)), 0.0, 0.0, 0.0, 0.0]
+    for pos, key in enumerate(keys):
+        x, y = float(key), float(pos)
+        want[1:] = want[1] + x, want[2] + y, want[3] + x * y, want[4] + x * x
+    p = learned.positions(spark.createDataFrame([(k,) for k in keys[::-1]], "key long").repartition(parts), parts=parts)
+    for by in ([], ["bucket"]):
+        got = learned.sums(p.withColumn("bucket", F.lit(0)), *by).first()
+        assert [got[c] for c in learned.SUMS] == want
+
+
 def test_reports(spark):
     p = learned.positions(spark.range(7000).select(F.col("id").alias("key"), (F.col("id") % 2).alias("shard")), "shard")
     f = learned.predict(p, learned.train(p, "shard"), "shard")

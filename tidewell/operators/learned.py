@@ -1,9 +1,10 @@
 """Learned positions: a two-level linear model of where a key stands among the sorted keys.
 
 Keys fall into `fanout` buckets by their share of the range; each bucket is a line fitted by least
-squares from raw sums, which add up, so training is a grouping with a partial step and a model can be
-merged with the sums of new data. Everything is done for each shard by itself, or for all keys as
-one; positions come from ranges of keys and running counts, so that no task sees all keys of a shard.
+squares from raw sums, which add up, so a model can be merged with the sums of new data. Everything is
+done for each shard by itself, or for all keys as one. Positions come from ranges of keys and running
+counts, so that no task sees all keys of a shard; training adds a bucket's keys in their order, so that
+a task sees all keys of a bucket, which are those of a shard only if nearly all of them are close together.
 """
 
 from __future__ import annotations
@@ -52,9 +53,15 @@ def bucket(fanout: int = FANOUT) -> Column:
 
 
 def sums(placed: DataFrame, *by: str) -> DataFrame:
-    """The sums that a line needs, for each group."""
+    """The sums that a line needs, for each group, added from the lowest key to the highest.
+
+    Beyond 2^53 sums of doubles depend on their order, and slopes and places cut from them do too. So each
+    group is dealt to one task, which sorts it (on disk if need be) and adds as it reads: no partial sums.
+    """
     x, y = F.col("key").cast("double"), F.col("pos").cast("double")
-    return placed.groupBy(*by).agg(
+    rows = placed.select(*by, "key", "pos")
+    rows = (rows.repartition(*by) if by else rows.repartition(1)).sortWithinPartitions(*by, "key", "pos")
+    return rows.groupBy(*by).agg(
         F.count("*").cast("double").alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx")
     )
 
