@@ -36,7 +36,7 @@ def test_equals_sql(spark, duck, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["model_csv_rows"])
+@pytest.mark.parametrize("name", ["model_csv_rows", "model_diagnostics"])
 def test_equals_sql_beyond_exact_sums(spark, tmp_path, name):
     """Sums beyond 2^53 depend on the order of additions: DuckDB adds by key in one thread, in no fixed order in several."""
     c = duckdb.connect()
